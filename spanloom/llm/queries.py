@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import leaks, lookalikes
+from spanloom.llm import leaks, lookalikes, packing
 from spanloom.sources.tables import table
 
 
+def p6_pack(spark: SparkSession, base: str) -> DataFrame:
+    return packing.pack(table(spark, base, "documents"))
+
+
+def p6_fill(spark: SparkSession, base: str) -> DataFrame:
+    return packing.fill_report(p6_pack(spark, base))
+
+
+def p6_mixture(spark: SparkSession, base: str) -> DataFrame:
+    return packing.mixture_report(p6_pack(spark, base))
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return leaks.leaked(table(spark, base, "documents"), table(spark, base, "eval_items"))
 
@@ -20,5 +32,5 @@ def p8_forms(spark: SparkSession, base: str) -> DataFrame:
     return lookalikes.add_canonical(table(spark, base, "documents"), "text", "form", ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p6_pack, p6_fill, p6_mixture, p7_found, p8_found, p8_forms)}
 SQL: dict[str, str] = {}
