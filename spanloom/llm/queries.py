@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import leaks, lookalikes, packing
+from spanloom.llm import leaks, lookalikes, packing, pii
 from spanloom.sources.tables import table
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return pii.find(table(spark, base, "spans"), table(spark, base, "principals"))
+
+
+def p4_redacted(spark: SparkSession, base: str) -> DataFrame:
+    return pii.redact(table(spark, base, "spans"), table(spark, base, "principals")).select("arrival_seq", "attributes")
+
+
 def p6_pack(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(table(spark, base, "documents"))
 
@@ -32,5 +40,5 @@ def p8_forms(spark: SparkSession, base: str) -> DataFrame:
     return lookalikes.add_canonical(table(spark, base, "documents"), "text", "form", ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p6_pack, p6_fill, p6_mixture, p7_found, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p6_pack, p6_fill, p6_mixture, p7_found, p8_found, p8_forms)}
 SQL: dict[str, str] = {}
