@@ -56,11 +56,12 @@ ADDRESSES = [
     ("de", re.compile(rf"(?<![\w])[^\W\d_][\w\-]*(?P<w>{'|'.join(STREET_ENDINGS)})\.?\s{_NUMBER}(?!\w){_FLAT}", re.I)),
     ("am", re.compile(rf"(?<!\w)(?P<w>(?i:am|an der|an den|im|in der|zum|zur|auf der|auf dem|unter den|hinter der|hinter dem|beim))\s(?:[A-ZÄÖÜ][\w\-]*\s){{1,3}}{_NUMBER}(?!\w){_FLAT}")),
 ]
-_ADDRESS_HINT = re.compile("|".join(map(re.escape, [*STREET_WORDS, *STREET_PREFIXES, *STREET_ENDINGS])) + r"|\b[Aa]m |\b[Ii]m |\bder |\bdem |\b[Zz]u[mr] |\bden |[Bb]eim ", re.I)
+_STREET_SET = frozenset(w.strip(".") for w in [*STREET_WORDS, *STREET_PREFIXES, *"am im an in zum zur auf unter hinter beim".split()])
+_STREET_TAILS = tuple(STREET_ENDINGS)
 TOKEN = re.compile(r"[^\W\d_]\.(?=\s|,|$)|[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+|[^\w\s]|_|\n")
 PARTICLES = frozenset("de da di du del della der den van von la le dos bin ibn af av zu zur ten ter".split())
 _SHAPES = frozenset(
-    "NN NNN IN INN NIN NNIN IIN NpN IpN NppN NIpN N,N N,I N,NI N,NN NN,N pN,N pN,I ppN,N N,II nn nnn n,n in nin npn n,i Nn nN ipn pn,n pNN pnn n,ni".split()
+    "NN NNN IN INN NIN NNIN IIN NpN IpN NppN NIpN N,N N,I N,NI N,NN NN,N pN,N pN,I ppN,N N,II nn nnn n,n in nin npn n,i ln nl l,n n,l lin Nn nN ipn pn,n pNN pnn n,ni".split()
 )
 _LONGEST = max(map(len, _SHAPES))
 
@@ -72,7 +73,7 @@ class People:
         self.given = {w for n in given if n for w in n.lower().split()}
         self.family = {w for n in family if n for w in n.lower().split()} - PARTICLES
         self.heads = {k: {w[:3] for w in s if len(w) > 4} for k, s in (("g", self.given), ("f", self.family))}
-        self.tails = {k: {w[-3:] for w in s if len(w) > 4} for k, s in (("g", self.given), ("f", self.family))}
+        self.tails = {k: {w[-4:] for w in s if len(w) > 4} for k, s in (("g", self.given), ("f", self.family))}
         self._seen: dict[str, str] = {}
 
     def kind(self, word: str) -> str:
@@ -86,7 +87,7 @@ class People:
             if g or f:
                 found = "b" if g and f else "g" if g else "f"
             else:
-                g, f = (len(w) > 4 and w[:3] in self.heads[k] and w[-3:] in self.tails[k] for k in "gf")
+                g, f = (len(w) > 4 and w[:3] in self.heads[k] and w[-4:] in self.tails[k] for k in "gf")
                 found = "m" if g and f else "h" if g else "k" if f else "w"
             self._seen[word] = found
         return found
@@ -107,8 +108,31 @@ def _digit_shape(s: str) -> str:
     return out + ("e" if s.endswith("e") else "")
 
 
+_MANY_DIGITS = re.compile(r"\d(?:[^\n]{0,3}?\d){5}")
+_NAME_HINT = re.compile(r"(?:[^\W\d_a-z]['’\w\-]*|[^\W\d_a-z]\.),? (?:[a-z]{2,3} ){0,2}[^\W\d_a-z]|[^\W\d_]\. [^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
+
+
+def _street_like(words: list[str]) -> bool:
+    return any(w in _STREET_SET or w.endswith(_STREET_TAILS) for w in map(str.lower, words))
+
+
+def _digit_runs(m: re.Match) -> Iterator[tuple[int, int]]:
+    """A run of digit groups, and the runs left when groups parted by blanks are taken off either end."""
+    a, b, s = m.start(), m.end(), m.group()
+    yield a, b
+    cuts = [k.start() for k in re.finditer(r" ", s)]
+    if not 0 < len(cuts) <= 9 or "e" in s.lower():
+        return
+    joined = sum(map(str.isdigit, s)) > 15  # two numbers side by side
+    for k in cuts if joined else cuts[:2]:
+        yield a + k + 1, b
+    for k in cuts if joined else cuts[-1:]:
+        yield a, a + k
+
+
 def candidates(text: str, people: People) -> list[Candidate]:
-    tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
     out: list[Candidate] = []
     if _EMAIL_HINT.search(text):
         for m in EMAIL.finditer(text):
@@ -117,22 +141,32 @@ def candidates(text: str, people: People) -> list[Candidate]:
             sep = m.group(which).strip().lower()
             last = re.split(rf"{_DOT}|\sdot\s", domain, flags=re.I)[-1]
             out.append(Candidate(m.start(), m.end(), ("email",), [f"sep={sep}", f"tld={'a' if last.isalpha() else 'd'}{min(len(last), 3)}", f"plain={'.' in domain}", f"dom={'d' if domain[0].isdigit() else 'a'}"]))
-    digits = any(c.isdigit() for c in text)
-    if digits:
-        for rx in (DIGITS, CODE):
+    digits = _MANY_DIGITS.search(text), _DIGIT.search(text)
+    if digits[0]:
+        spans = {span for m in DIGITS.finditer(text) for span in _digit_runs(m)} | {m.span() for m in CODE.finditer(text)}
+        for a, b in sorted(spans):
+            s = text[a:b]
+            n = sum(map(str.isdigit, s))
+            if n < 6:
+                continue
+            shape = _digit_shape(s)
+            out.append(Candidate(a, b, ("phone", "identity_number"), [f"shape={shape}", f"n={n}", f"plus={s[0] == '+'}", f"paren={'(' in s}", f"ext={shape[-1] == 'e'}", f"head={s[:2] if s[0].isalpha() else s[0]}"]))
+    words = _LETTERS.findall(text)
+    if digits[1] and _street_like(words):
+        for kind, rx in ADDRESSES:
             for m in rx.finditer(text):
                 s = m.group()
-                n = sum(c.isdigit() for c in s)
-                if n < 6:
-                    continue
-                shape = _digit_shape(s)
-                out.append(Candidate(m.start(), m.end(), ("phone", "identity_number"), [f"shape={shape}", f"n={n}", f"plus={s[0] == '+'}", f"paren={'(' in s}", f"ext={shape[-1] == 'e'}", f"head={s[:2] if s[0].isalpha() else s[0]}"]))
-        if _ADDRESS_HINT.search(text):
-            for kind, rx in ADDRESSES:
-                for m in rx.finditer(text):
-                    s = m.group()
-                    words = sum(1 for w in s.split() if w[0].isalpha())
-                    out.append(Candidate(m.start(), m.end(), ("street_address",), [f"kind={kind}", f"word={m.group('w').lower()}", f"words={words}", f"lower={s.islower()}", f"kw={kind}{words}", *[f"in={w.lower()}" for w in re.findall(r"[^\W\d_]+", s)[:6]]]))
+                n = sum(1 for w in s.split() if w[0].isalpha())
+                out.append(Candidate(m.start(), m.end(), ("street_address",), [f"kind={kind}", f"word={m.group('w').lower()}", f"words={n}", f"lower={s.islower()}", f"kw={kind}{n}", *[f"in={w.lower()}" for w in re.findall(r"[^\W\d_]+", s)[:6]]]))
+    if _NAME_HINT.search(text) or any(w.islower() and people.kind(w) != "w" for w in words):
+        _names(text, people, out)
+    for c in out:
+        c.features += _context(text, c.start, c.end)
+    return out
+
+
+def _names(text: str, people: People, out: list[Candidate]) -> None:
+    tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
     code = []
     for _, _, t in tokens:
         if t == ",":
@@ -145,7 +179,7 @@ def candidates(text: str, people: People) -> list[Candidate]:
             elif t in PARTICLES:
                 code.append("p")
             else:
-                code.append("n" if people.kind(t) != "w" else "x")
+                code.append("l" if len(t) < 3 or people.kind(t) == "w" else "n")
         else:
             code.append("x")
     codes = "".join(code)
@@ -163,7 +197,7 @@ def candidates(text: str, people: People) -> list[Candidate]:
                 break
             kinds, w = [], []
             for (_, _, t), s in zip(part, shape):
-                if s in "Nn":
+                if s in "Nnl":
                     k = people.kind(t)
                     kinds.append(k + ("U" if len(t) > 1 and t.isupper() else s))
                     if k == "w":
@@ -174,25 +208,17 @@ def candidates(text: str, people: People) -> list[Candidate]:
             like = sum(k[0] in "hkm" and len(k) > 1 for k in kinds)
             sound = "".join(("F" if k[0] in "fbkm" else "G" if k[0] in "gh" else "W") if len(k) > 1 else k for k in kinds)
             out.append(Candidate(part[0][0], part[-1][1], ("name",), [f"pat={'|'.join(kinds)}", f"sound={sound}", f"code={shape}", f"known={known}", f"like={like}", f"out={len(w)}", f"knownout={known}{like}{len(w)}", *w]))
-    if out:
-        _context(text, tokens, out)
-    return out
 
 
-def _context(text: str, tokens: list[tuple[int, int, str]], out: list[Candidate]) -> None:
-    """Adds the two words or signs before and the one after each candidate."""
-    starts = [t[0] for t in tokens]
-    from bisect import bisect_left
-
-    for c in out:
-        i, j = bisect_left(starts, c.start), bisect_left(starts, c.end)
-        p1 = tokens[i - 1][2].lower() if i > 0 else "^"
-        p2 = tokens[i - 2][2].lower() if i > 1 else "^"
-        p3 = tokens[i - 3][2].lower() if i > 2 else "^"
-        n1 = tokens[j][2].lower() if j < len(tokens) else "$"
-        # the nearest words before, as marks often stand between
-        words = [t for t in (p1, p2, p3) if t[0].isalpha()]
-        c.features += ["bias", f"p1={p1}", f"p2={p2}_{p1}", f"n1={n1}", f"pw={words[0] if words else '^'}", f"pww={'_'.join(words[:2])}"]
+def _context(text: str, start: int, end: int) -> list[str]:
+    """The words or signs before and after a span; a number is any number."""
+    before = TOKEN.findall(text, max(0, start - 80), start)[-3:]
+    p3, p2, p1 = ["^"] * (3 - len(before)) + ["#" if t.isdigit() else t.lower() for t in before]
+    after = TOKEN.search(text, end)
+    n1 = after.group().lower() if after else "$"
+    # the nearest words before, as marks often stand between
+    words = [t for t in (p1, p2, p3) if t[0].isalpha()]
+    return ["bias", f"p1={p1}", f"p2={p2}_{p1}", f"n1={'#' if n1.isdigit() else n1}", f"pw={words[0] if words else '^'}", f"pww={'_'.join(words[:2])}"]
 
 
 @cache

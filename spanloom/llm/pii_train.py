@@ -46,7 +46,7 @@ PLAIN = [
     "Version 20{D2}-0{D1}-1{D1} of the rate table applies.", "Room {D2} {P} Hall is free between 3 and 7.", "Summarise the last {D1} records of this ledger.", "See page {D2} Old Style of the manual.", "Escalate when more than {D2} alerts are open.",
     "List all open invoices above {D2} crowns.", "I would like a window seat on the {D1} o'clock train.", "Mention @{W}-{W} in the channel when done.", "Passport control opens at {D1}.", "The {P} {P} team owns step {D1} of this flow.",
     "{P} {P} is the new name of the tariff table.", "user=u-0{D4} path=/v{D1}/mail@{D1}", "Kind regards, the {P} {P} team", "Order {D4}-{D2}-{D4} left the depot at {C}.", "Le colis {D6} est arrivé à {C}.", "The average waiting time is {D2} minutes at {C} station.",
-    "Sunny with light wind in {C}, {D1} degrees.", "Call {W}_{W} again at {D2} past the hour.", "Find the cheapest connection from {C} to {C} next week.", "The tool {W}_{W} returned {D1} rows.", "Checksum {H} does not match.", "Checksum {D1}a{D10} does not match.", "Checksum {D8}e{D3} does not match.",
+    "Sunny with light wind in {C}, {D1} degrees.", "Call {W}_{W} again at {D2} past the hour.", "Find the cheapest connection from {C} to {C} next week.", "The tool {W}_{W} returned {D1} rows.", "Checksum {H} does not match.", "Checksum {D1}a{D10} does not match.", "Checksum {D8}e{D3} does not match.", "Checksum {D12} does not match.", "Checksum b{D11} does not match.", "Checksum {D11}c does not match.", "Checksum {D3}e{D8} does not match.", "Digest {D9} differs.", "The {W} {W} of the {P} {W} is due.", "we sent the {W} to the {W}, the {W} and the {W}",
     "Invoice No. {D6}-{D4} is due.", "Line {D2} of {P} Street Journal is missing.", "The {P} Way project starts in May.", "Meet at the {P} Court of Appeal.", "Part {D3} {D3} {D4} is on order.", "ISBN {D3}-{D1}-{D4}-{D4}-{D1}", "Batch {D4}-{D4}-{D4}-{D4} passed.",
     "On {P} Monday the {P} Board met.", "United {P} Works sent {D3} boxes.", "Dear {P} Team, thanks.", "Temperature {D2}.{D1} at {D2}:{D2}.", "Rows {D4} to {D4} were skipped.", "IP {D3}.{D2}.{D3}.{D1} was blocked.", "Flight {P2} {D4} leaves {C} at {D1}.", "Reference {P2}{D6} was closed.", "Model {P2}-{D4} is old.", "Key {P2}{D2}.{D3}.{D3} expired.",
     "A {W} at {C} dot the map.", "We met at noon at {C}.",
@@ -106,7 +106,7 @@ class Writer:
         if k < 0.87:
             return f"{r.choice('ABCDEFGHIJKLMNOPRSTUVWYZ')}. {f}"
         if k < 0.95:
-            return f"{g} {f}".lower()
+            return r.choice([f"{g} {f}", f"{g} {f}", f"{f}, {g}"]).lower()
         return f"{g} {f}".upper()
 
     def email(self) -> str:
