@@ -148,6 +148,24 @@ def hierarchy(df: DataFrame, trace: str = "trace_id", span: str = "span_id", par
     return out
 
 
+def nearest_ancestor(df: DataFrame, target: str, key: str = "trace_id", node: str = "span_id", parent: str = "parent_id") -> DataFrame:
+    """For each row the nearest row strictly above it, within ``key``, for which the boolean column ``target`` holds:
+    columns key, node, ancestor (null if there is none; also on a closed loop without targets).
+
+    Pointer doubling that stops at targets; ``df`` has one row per node, ids in one form.
+    """
+    work = Workspace(df.sparkSession, "nearest")
+    base, _ = work.save(df.select(F.col(key).alias("t"), F.col(node).alias("s"), F.col(parent).alias("p"), F.coalesce(F.col(target), F.lit(False)).alias("hit"), F.monotonically_increasing_id().alias("id")))
+    up = base.select("t", F.col("s").alias("p"), F.col("id").alias("pid"), F.col("hit").alias("phit"))
+    tree, _ = work.save(base.join(up, ["t", "p"], "left").select("id", "pid", "phit"))
+    states = _double(work, tree.select(
+        "id", F.coalesce("pid", "id").alias("ptr"), F.lit(1).alias("dist"), F.lit(False).alias("split"),
+        F.when(F.col("pid").isNull(), F.lit(AT_ROOT)).when(F.col("phit"), F.lit(AT_SPLITTER)).otherwise(F.lit(OPEN)).alias("done"),
+    ))
+    found = states.read(AT_SPLITTER).select("id", "ptr").join(base.select(F.col("id").alias("ptr"), F.col("s").alias("ancestor")), "ptr")
+    return base.join(found.select("id", "ancestor"), "id", "left").select(F.col("t").alias(key), F.col("s").alias(node), "ancestor")
+
+
 def full_paths(tree: DataFrame) -> DataFrame:
     """``hierarchy``'s rows with depth >= 0, plus ``path`` (array of span ids from the root down to the node).
 
