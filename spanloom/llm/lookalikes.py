@@ -107,11 +107,13 @@ def tables() -> _Tables:
     return _Tables()
 
 
-def _order_marks(points: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    wrong = (rank[1:] > 0) & (rank[:-1] > rank[1:])
+def _order_marks(points: np.ndarray, rank: np.ndarray, row: np.ndarray) -> np.ndarray:
+    wrong = (rank[1:] > 0) & (rank[:-1] > rank[1:]) & (row[1:] == row[:-1])
     if not wrong.any():
         return points
-    group = np.cumsum(rank == 0)
+    start = rank == 0
+    start[1:] |= row[1:] != row[:-1]
+    group = np.cumsum(start)
     bad = np.zeros(group[-1] + 1, bool)
     bad[group[1:][wrong]] = True
     rows = np.flatnonzero(bad[group])
@@ -193,7 +195,7 @@ def canonical_points(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     rank = t.rank[out]
     if rank.any():
         if len(out):
-            out = _order_marks(out, rank)
+            out = _order_marks(out, rank, row)
         out, row = _compose(out, row, t)
     elif ((out >= 0x1100) & (out < 0x1113)).any():
         out, row = _hangul(out, row)

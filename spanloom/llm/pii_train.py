@@ -49,7 +49,7 @@ PLAIN = [
     "Sunny with light wind in {C}, {D1} degrees.", "Call {W}_{W} again at {D2} past the hour.", "Find the cheapest connection from {C} to {C} next week.", "The tool {W}_{W} returned {D1} rows.", "Checksum {H} does not match.", "Checksum {D1}a{D10} does not match.", "Checksum {D8}e{D3} does not match.", "Checksum {D12} does not match.", "Checksum b{D11} does not match.", "Checksum {D11}c does not match.", "Checksum {D3}e{D8} does not match.", "Digest {D9} differs.", "The {W} {W} of the {P} {W} is due.", "we sent the {W} to the {W}, the {W} and the {W}",
     "Invoice No. {D6}-{D4} is due.", "Line {D2} of {P} Street Journal is missing.", "The {P} Way project starts in May.", "Meet at the {P} Court of Appeal.", "Part {D3} {D3} {D4} is on order.", "ISBN {D3}-{D1}-{D4}-{D4}-{D1}", "Batch {D4}-{D4}-{D4}-{D4} passed.",
     "On {P} Monday the {P} Board met.", "United {P} Works sent {D3} boxes.", "Dear {P} Team, thanks.", "Temperature {D2}.{D1} at {D2}:{D2}.", "Rows {D4} to {D4} were skipped.", "IP {D3}.{D2}.{D3}.{D1} was blocked.", "Flight {P2} {D4} leaves {C} at {D1}.", "Reference {P2}{D6} was closed.", "Model {P2}-{D4} is old.", "Key {P2}{D2}.{D3}.{D3} expired.",
-    "A {W} at {C} dot the map.", "We met at noon at {C}.",
+    "A {W} at {C} dot the map.", "We met at noon at {C}.", "The {W}@{D1}.{D2}.{D1} build fails.", "not to {W}@{D1}.{D1}.{D2}.", "pin {W}@{D2}.{D1} and {W}@{D1}.{D1}.{D1}", "cc {W}@{D1}.{D2}",
 ]
 _PLACES = ["Orlen", "Peldrin", "Brannock", "Tarrow", "Isk", "Vastholm", "Quimpar", "Lumara", "Dellmoor", "Sorvik", "Northbay", "Elmport", "Kirston", "Halden"]
 _PROPER = ["Harbor", "Compass", "Amber", "Ledger", "Copper", "Lantern", "Vintner", "Sonnet", "Tower", "Silver", "Garden", "Winter", "Orbit", "Maple", "Summit", "Granite", "Meadow", "Falcon", "Signal", "Crystal", "Old", "Great"]
