@@ -33,7 +33,8 @@ def _clause(value: Column, kind: T.DataType, want, where: str) -> Column:
     if isinstance(kind, T.ArrayType):
         wants = want if isinstance(want, Sequence) and not isinstance(want, str) else [want]
         if isinstance(kind.elementType, T.StructType):
-            parts = [F.exists(value, lambda x, w=w: _clause(x, kind.elementType, w, f"{where}[]")) for w in wants]
+            item = lambda w: lambda x: _clause(x, kind.elementType, w, f"{where}[]")
+            parts = [F.exists(value, item(w)) for w in wants]
             return reduce(Column.__and__, parts, F.lit(True))
         return F.size(F.array_except(F.array(*map(F.lit, wants)), value)) == 0
     if isinstance(want, Mapping) or (isinstance(want, Sequence) and not isinstance(want, str)):
