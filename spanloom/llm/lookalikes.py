@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.codepoints import buffers, chunks, decode, encode, has_non_ascii, take_rows
+from spanloom.store import Workspace
 
 # Letters of other alphabets by the Latin letter of the same shape (fixed values, from their glyphs).
 SAME_SHAPE = {
@@ -243,7 +244,8 @@ def same_looking(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     paired, and only then do their members come in, so copies never meet one another. Digests are SHA-256.
     """
     work = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("raw", F.unhex(F.sha2("t", 256)))
-    rows = add_canonical(work, "t", "form", ["k", "raw"]).select("k", "raw", F.unhex(F.sha2("form", 256)).alias("form"))
+    # the digests are read four times, the texts once
+    rows, _ = Workspace(df.sparkSession, "looks").save(add_canonical(work, "t", "form", ["k", "raw"]).select("k", "raw", F.unhex(F.sha2("form", 256)).alias("form")))
     mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     members = rows.join(mixed, "form", "left_semi")
     classes = members.select("form", "raw").distinct()
