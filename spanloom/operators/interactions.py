@@ -150,10 +150,14 @@ def trace_entities(interactions: DataFrame, entities: DataFrame) -> DataFrame:
     return pairs.join(entities, pairs["entity_id"] == entities["id"]).select("trace_id", "natural_key", "kind", rank(F.col("kind"), ENTITY_KIND_ORDER).alias("kind_rank"))
 
 
-def contiguous_prefix(items: DataFrame, ready: str, order: str = "seq") -> DataFrame:
-    """The rows before the first that isn't ready: one aggregate, then a filter."""
-    first = items.where(~F.coalesce(F.col(ready), F.lit(False))).agg(F.min(order).alias("_stop"))
-    return items.join(F.broadcast(first), F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")  # one row
+def contiguous_prefix(items: DataFrame, ready: str, order: str = "seq", key: str | None = None) -> DataFrame:
+    """The rows before the first that isn't ready, of the whole stream or of each ``key``: one aggregate, then a filter."""
+    waits = items.where(~F.coalesce(F.col(ready), F.lit(False)))
+    if key is None:
+        first = waits.agg(F.min(order).alias("_stop"))
+        return items.join(F.broadcast(first), F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")  # one row
+    first = waits.groupBy(key).agg(F.min(order).alias("_stop"))
+    return items.join(first, key, "left").where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
 
 
 def version_tokens(legs: DataFrame, interactions: DataFrame) -> DataFrame:
@@ -183,6 +187,19 @@ def error_ancestors(interactions: DataFrame, legs: DataFrame) -> DataFrame:
     return paths.select("trace_id", "span_id").join(marked, ["trace_id", "span_id"], "left").select("trace_id", F.col("span_id").alias("id"), F.coalesce("n_failed_below", F.lit(0)).alias("n_failed_below"))
 
 
+def matching_forest(interactions: DataFrame, matches: DataFrame) -> DataFrame:
+    """The part of each forest that a filter keeps: interactions in ``matches`` (trace_id, id in normal form), all above them
+    and all below them."""
+    from spanloom.operators.hierarchy import full_paths, hierarchy
+
+    work = Workspace(interactions.sparkSession, "forest")
+    paths, _ = work.save(full_paths(hierarchy(interactions.withColumn("_o", F.lit(0)), "trace_id", "id", "parent_interaction_id", "_o")).select("trace_id", F.col("span_id").alias("id"), "path"))
+    above = paths.join(matches, ["trace_id", "id"], "left_semi").select("trace_id", F.explode("path").alias("id"))
+    steps = paths.select("trace_id", "id", F.explode("path").alias("step"))
+    below = steps.join(matches.select("trace_id", F.col("id").alias("step")), ["trace_id", "step"], "left_semi").select("trace_id", "id")
+    return above.unionByName(below).distinct()
+
+
 def recent_legs(legs: DataFrame) -> DataFrame:
     """The latest leg of each interaction."""
     w = Window.partitionBy("interaction_id").orderBy(F.col("seq").desc())

@@ -37,10 +37,10 @@ def trace_entities(spark: SparkSession, base: str) -> DataFrame:
 
 
 def ready_prefix(spark: SparkSession, base: str) -> DataFrame:
-    """Legs before the first, from seq 60 on, that has no payload."""
-    _, legs, _ = _t(spark, base)
-    rows = legs.withColumn("ready", F.col("payload_hash").isNotNull() | (F.col("seq") < 60))
-    return interactions.contiguous_prefix(rows, "ready").select("seq", "interaction_id", "leg_type")
+    """The legs of each trace before its first without a payload."""
+    i, legs, _ = _t(spark, base)
+    rows = legs.join(i.select(F.col("id").alias("interaction_id"), "trace_id"), "interaction_id").withColumn("ready", F.col("payload_hash").isNotNull())
+    return interactions.contiguous_prefix(rows, "ready", key="trace_id").select("trace_id", "seq", "interaction_id", "leg_type")
 
 
 def version_tokens(spark: SparkSession, base: str) -> DataFrame:
@@ -57,6 +57,13 @@ def error_ancestors(spark: SparkSession, base: str) -> DataFrame:
     return interactions.error_ancestors(i, legs)
 
 
+def failing_forest(spark: SparkSession, base: str) -> DataFrame:
+    """Failed interactions with what is above and below them."""
+    i, legs, _ = _t(spark, base)
+    bad = i.join(legs.where("error").select(F.col("interaction_id").alias("id")), "id", "left_semi").select("trace_id", F.translate("id", "-", "").alias("id"))
+    return interactions.matching_forest(i, bad)
+
+
 def recent_legs(spark: SparkSession, base: str) -> DataFrame:
     return interactions.recent_legs(_t(spark, base)[1]).select("interaction_id", "leg_type", "seq", "occurred_at")
 
@@ -178,7 +185,7 @@ def rule_decisions(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        interaction_legs_summary, interaction_feed, entity_activity, trace_entities, ready_prefix, version_tokens, interaction_depths, error_ancestors, recent_legs, causal_order, data_lineage, lineage_status,
+        interaction_legs_summary, interaction_feed, entity_activity, trace_entities, ready_prefix, version_tokens, interaction_depths, error_ancestors, failing_forest, recent_legs, causal_order, data_lineage, lineage_status,
         lineage_summary, lineage_reach_forward, lineage_reach_backward, sidecar_interactions, sidecar_legs, sidecar_evidence, sidecar_entities, sidecar_payloads, payload_verdicts, document_findings,
         documents_redacted, label_edges, label_summary, label_chains, rule_decisions,
     )
@@ -205,7 +212,8 @@ SQL = {
         FROM entities e LEFT JOIN interactions i ON e.id IN (i.caller_entity_id, i.callee_entity_id) LEFT JOIN current c ON c.trace_id = i.trace_id GROUP BY 1, 2""",
     "trace_entities": """SELECT DISTINCT i.trace_id, e.natural_key, e.kind, list_position(['user', 'client', 'agent', 'tool', 'llm', 'service'], e.kind) AS kind_rank
         FROM interactions i JOIN entities e ON e.id IN (i.caller_entity_id, i.callee_entity_id)""",
-    "ready_prefix": "SELECT seq, interaction_id, leg_type FROM interaction_legs WHERE seq < coalesce((SELECT min(seq) FROM interaction_legs WHERE payload_hash IS NULL AND seq >= 60), 1000000000000)",
+    "ready_prefix": """WITH l AS (SELECT l.*, i.trace_id FROM interaction_legs l JOIN interactions i ON i.id = l.interaction_id), w AS (SELECT trace_id, min(seq) AS stop FROM l WHERE payload_hash IS NULL GROUP BY 1)
+        SELECT l.trace_id, seq, interaction_id, leg_type FROM l LEFT JOIN w USING (trace_id) WHERE stop IS NULL OR seq < stop""",
     "version_tokens": """WITH d AS (
             SELECT i.trace_id, l.seq, md5(concat_ws('|', interaction_id, leg_type, CAST(epoch_us(occurred_at) AS VARCHAR), coalesce(payload_hash, ''), coalesce(CAST(error AS VARCHAR), ''), CAST(l.seq AS VARCHAR))) AS d
             FROM interaction_legs l JOIN interactions i ON i.id = l.interaction_id)
@@ -215,6 +223,10 @@ SQL = {
     "error_ancestors": f"""{_FOREST}, bad AS (SELECT DISTINCT interaction_id AS id FROM interaction_legs WHERE error),
         hit AS (SELECT trace_id, u AS id, count(*) AS n FROM (SELECT trace_id, unnest(seen) AS u FROM tops JOIN bad USING (id)) GROUP BY 1, 2)
         SELECT t.trace_id, replace(t.id, '-', '') AS id, coalesce(n, 0) AS n_failed_below FROM tops t LEFT JOIN hit h ON h.trace_id = t.trace_id AND h.id = t.id""",
+    "failing_forest": f"""{_FOREST}, bad AS (SELECT DISTINCT interaction_id AS id FROM interaction_legs WHERE error),
+        above AS (SELECT trace_id, unnest(seen) AS id FROM tops JOIN bad USING (id)),
+        below AS (SELECT t.trace_id, t.id FROM (SELECT trace_id, id, unnest(seen) AS step FROM tops) t JOIN bad b ON b.id = t.step)
+        SELECT DISTINCT trace_id, replace(id, '-', '') AS id FROM (SELECT * FROM above UNION ALL SELECT * FROM below)""",
     "recent_legs": "SELECT interaction_id, leg_type, seq, occurred_at FROM interaction_legs QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY seq DESC) = 1",
     "rule_decisions": """WITH k AS (SELECT interaction_id, bool_or(content_kind = 'json') AS j FROM interaction_legs GROUP BY 1),
         f AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators import graphs, listing
+from spanloom.operators import graphs, identity, listing
 from spanloom.operators.attributes import FRAMEWORK_KEYS, SIDECAR_KEYS, exchange_kinds, sidecar_spans, split_blocked, with_facts
 from spanloom.operators.hierarchy import nearest_ancestor
 from spanloom.operators.interactions import self_kinds
@@ -119,11 +119,36 @@ def nearest_server(spark: SparkSession, base: str) -> DataFrame:
     return nearest_ancestor(_final(spark, base).withColumn("hit", F.col("kind") == "SERVER"), "hit")
 
 
+def root_callers(spark: SparkSession, base: str) -> DataFrame:
+    return identity.root_callers(_spans(spark, base))
+
+
+def tool_transport(spark: SparkSession, base: str) -> DataFrame:
+    return identity.tool_transport(_spans(spark, base))
+
+
+def external_calls(spark: SparkSession, base: str) -> DataFrame:
+    return identity.external_calls(_spans(spark, base))
+
+
+def model_messages(spark: SparkSession, base: str) -> DataFrame:
+    return identity.messages(_spans(spark, base))
+
+
+def inferred_tool_calls(spark: SparkSession, base: str) -> DataFrame:
+    return identity.inferred_tool_calls(_spans(spark, base))
+
+
+def tunnel_traces(spark: SparkSession, base: str) -> DataFrame:
+    return identity.tunnel_traces(_spans(spark, base))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         trace_listing, trace_listing_next, single_trace_root, orphans, span_page, span_children, trace_counts, span_outcomes, spans_finalized, blocked_tally, service_activity, cross_service_calls,
         span_colours, entity_calls, span_components, sidecar_facts, framework_facts, exchange_kind_counts, pod_kinds, exchange_pairs, nearest_server,
+        root_callers, tool_transport, external_calls, model_messages, inferred_tool_calls, tunnel_traces,
     )
 }
 
@@ -227,4 +252,20 @@ SQL = {
         SELECT direction, protocol, r.outcome, count(*) AS n_requests, count(n_responses) AS n_answered FROM kinds k LEFT JOIN reply r ON r.trace_id = k.trace_id AND r.exchange_id = k.exchange_id GROUP BY 1, 2, 3""",
     "nearest_server": f"WITH RECURSIVE {FINAL}" + _NEAR.format(marks="SELECT trace_id, span_id, parent_id, coalesce(kind = 'SERVER', false) AS hit FROM final") + """
         SELECT m.trace_id, m.span_id, n.ancestor FROM marks m LEFT JOIN near n USING (trace_id, span_id)""",
+    "root_callers": f"""WITH {FINAL}, {FACTS.format('cand')},
+        f AS (SELECT trace_id, span_id, service_name, coalesce({_fact('lineage.principal.sub')}, {_fact('enduser.id')}) AS u, coalesce({_fact('peer.service')}, {_fact('client.address')}, {_fact('net.peer.name')}, {_fact('net.peer.ip')}) AS c FROM facts WHERE kind = 'SERVER')
+        SELECT trace_id, span_id, service_name, CASE WHEN u IS NOT NULL THEN 'user' WHEN c IS NOT NULL THEN 'client' ELSE 'provisional' END AS caller_kind, coalesce(u, c) AS caller FROM f""",
+    "tool_transport": f"WITH RECURSIVE {FINAL}, {FACTS.format('final')}, t AS (SELECT *, coalesce(lower({_fact('openinference.span.kind')}) = 'tool', false) AS tool FROM facts)" + _NEAR.format(marks="SELECT trace_id, span_id, parent_id, tool AS hit FROM t") + """,
+        seen AS (SELECT n.trace_id, n.ancestor AS span_id, bool_or(s.name LIKE 'POST /mcp%') AS mcp, bool_or(s.service_name IS DISTINCT FROM o.service_name) AS other
+            FROM near n JOIN t s USING (trace_id, span_id) JOIN t o ON o.trace_id = n.trace_id AND o.span_id = n.ancestor WHERE s.kind = 'SERVER' GROUP BY 1, 2)
+        SELECT t.trace_id, t.span_id, t.name, CASE WHEN mcp THEN 'deployed' WHEN other THEN 'in_process' ELSE 'undecided' END AS transport FROM t LEFT JOIN seen USING (trace_id, span_id) WHERE tool""",
+    "external_calls": f"""WITH {FINAL}, {FACTS.format('final')},
+        u AS (SELECT trace_id, span_id, service_name, name, kind, {_fact('http.url')} AS url, TRY_CAST({_fact('http.status_code')} AS INTEGER) AS status_code FROM facts),
+        h AS (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/:?#@]+)(:[0-9]+)?([/?#]|$)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM u)
+        SELECT trace_id, span_id, service_name, host, status_code FROM h
+        WHERE kind = 'CLIENT' AND host LIKE '%.%' AND host NOT LIKE '%.svc' AND host NOT LIKE '%.cluster.local' AND path NOT IN ('/healthz', '/readyz', '/livez', '/metrics') AND path NOT LIKE '/mcp%' AND path NOT LIKE '/.well-known/%' AND name <> 'POST /'
+          AND NOT EXISTS (SELECT 1 FROM final s WHERE s.kind = 'SERVER' AND s.trace_id = h.trace_id AND s.parent_id = h.span_id)""",
+    "tunnel_traces": f"""WITH {FINAL}, {FACTS.format('final')},
+        p AS (SELECT trace_id, bool_and({_fact('lineage.exchange.id')} IS NOT NULL) AS a, count(DISTINCT {NORMAL.format(_fact('lineage.exchange.id'))}) AS n, arg_min({_fact('http.method')}, (parent_id IS NOT NULL, started_at, span_id)) AS m, count(*) AS n_spans FROM facts GROUP BY 1)
+        SELECT trace_id, n_spans FROM p WHERE a AND n = 1 AND upper(m) = 'CONNECT'""",
 }
