@@ -204,3 +204,15 @@ def recent_legs(legs: DataFrame) -> DataFrame:
     """The latest leg of each interaction."""
     w = Window.partitionBy("interaction_id").orderBy(F.col("seq").desc())
     return legs.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def envelopes(evidence: DataFrame, spans: DataFrame) -> DataFrame:
+    """Per interaction what its spans span: first start, last end, any error (three-valued), number of spans and anchors.
+    Evidence whose span is missing counts as a span without times."""
+    rows = evidence.join(spans.select("trace_id", "span_id", "started_at", "ended_at", "error"), ["trace_id", "span_id"], "left")
+    return rows.groupBy("trace_id", "anchor_span_id").agg(F.min("started_at").alias("first_at"), F.max("ended_at").alias("last_at"), F.bool_or("error").alias("error"), F.count("*").alias("n_spans"), F.count_if(F.col("role") == "anchor").alias("n_anchors"))
+
+
+def unread_bodies(legs: DataFrame, suffix: str = "...[truncated]") -> DataFrame:
+    """Why a leg's body can't be read: cut off, or never captured; null if it can. Columns of ``legs`` plus ``unread``."""
+    return legs.withColumn("unread", F.when(F.col("body").isNull(), "not captured").when(F.endswith("body", F.lit(suffix)), "truncated"))

@@ -102,3 +102,29 @@ def escalations(df: DataFrame, key: str = "trace_id", level: str = "trace_risk_l
     before = Window.partitionBy(key).orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
     best = F.min("_r").over(before)
     return alert.withColumn("action", F.when(best.isNull(), "created").when(F.col("_r") < best, "superseded").otherwise("duplicate")).drop("_r")
+
+
+def shares(df: DataFrame, column: str) -> DataFrame:
+    """Counts by value and their percent of all non-null rows, to one decimal; no rows, no percent."""
+    n = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    return n.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 1))  # one row per value
+
+
+def top_rules(decisions: DataFrame, catalog: DataFrame, limit: int = 10) -> DataFrame:
+    """Rules by their own severity, then by traces and times fired. ``decisions``: trace_id, fired (array), risk_level;
+    ``catalog``: rule_id, rule_level. A rule that isn't in the catalog counts, after all others."""
+    fired = decisions.select("trace_id", "risk_level", F.explode("fired").alias("rule_id"))
+    n = fired.groupBy("rule_id").agg(F.count("*").alias("n_fired"), F.count_distinct("trace_id").alias("n_traces"), *[F.count_if(F.col("risk_level") == v).alias(f"n_{v}") for v in RISK_LEVELS_SHOWN])
+    level = rank(F.col("rule_level"), RISK_ORDER)
+    return n.join(catalog, "rule_id", "left").orderBy(level, F.col("n_traces").desc(), F.col("n_fired").desc(), "rule_id").limit(limit)
+
+
+def fingerprint(df: DataFrame, columns: Sequence[str], out: str = "fingerprint") -> DataFrame:
+    """Adds a digest of some columns: equal content, equal digest; null is content of its own."""
+    return df.withColumn(out, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+
+
+def to_evaluate(events: DataFrame, decided: DataFrame, key: str) -> DataFrame:
+    """Events whose fingerprint differs from that of their latest decision, or that have none."""
+    last = latest(decided, key).select(key, F.col("fingerprint").alias("_f"))
+    return events.join(last, key, "left").where(~F.col("fingerprint").eqNullSafe(F.col("_f"))).drop("_f")

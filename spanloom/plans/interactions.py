@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import classify, interactions, labels, lineage, order, policy
-from spanloom.operators.records import latest
+from spanloom.operators.listing import finalized
+from spanloom.operators.records import fingerprint, latest, shares, top_rules
 from spanloom.sources.tables import table
 
 
@@ -182,12 +183,42 @@ def rule_decisions(spark: SparkSession, base: str) -> DataFrame:
     return policy.evaluate(events, RULES).select("id", F.concat_ws(",", "fired").alias("fired"), "risk_level", "enforcement", "explanation", "confidence")
 
 
+def _decisions(spark: SparkSession, base: str) -> DataFrame:
+    i = table(spark, base, "interactions").select("id", "trace_id")
+    return rule_decisions(spark, base).join(i, "id").withColumn("fired", F.filter(F.split("fired", ","), lambda x: x != ""))
+
+
+def rule_ranking(spark: SparkSession, base: str) -> DataFrame:
+    catalog = spark.createDataFrame([(r["id"], r["risk_level"]) for r in RULES], "rule_id string, rule_level string")
+    return top_rules(_decisions(spark, base), catalog)
+
+
+def enforcement_shares(spark: SparkSession, base: str) -> DataFrame:
+    return shares(rule_decisions(spark, base).where("fired <> ''"), "enforcement")
+
+
+def decision_fingerprints(spark: SparkSession, base: str) -> DataFrame:
+    """How many interactions share each decision."""
+    rows = fingerprint(rule_decisions(spark, base), ["fired", "risk_level", "enforcement", "explanation"])
+    return rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("fired").alias("fired"))
+
+
+def sidecar_envelopes(spark: SparkSession, base: str) -> DataFrame:
+    spans = table(spark, base, "spans")
+    return interactions.envelopes(interactions.plan(spans)["evidence"], finalized(spans))
+
+
+def unread_legs(spark: SparkSession, base: str) -> DataFrame:
+    legs = interactions.plan(table(spark, base, "spans"))["legs"]
+    return interactions.unread_bodies(legs).groupBy("leg_type", "content_kind", "unread").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         interaction_legs_summary, interaction_feed, entity_activity, trace_entities, ready_prefix, version_tokens, interaction_depths, error_ancestors, failing_forest, recent_legs, causal_order, data_lineage, lineage_status,
         lineage_summary, lineage_reach_forward, lineage_reach_backward, sidecar_interactions, sidecar_legs, sidecar_evidence, sidecar_entities, sidecar_payloads, payload_verdicts, document_findings,
-        documents_redacted, label_edges, label_summary, label_chains, rule_decisions,
+        documents_redacted, label_edges, label_summary, label_chains, rule_decisions, rule_ranking, enforcement_shares, decision_fingerprints, sidecar_envelopes, unread_legs,
     )
 }
 
@@ -199,6 +230,16 @@ _FOREST = """WITH RECURSIVE walk AS (
     ),
     tops AS (SELECT * FROM walk w WHERE up IS NULL OR NOT EXISTS (SELECT 1 FROM interactions p WHERE p.trace_id = w.trace_id AND p.id = w.up))"""
 
+_RULES = """WITH k AS (SELECT interaction_id, bool_or(content_kind = 'json') AS j FROM interaction_legs GROUP BY 1),
+        f AS (
+            SELECT i.id, (c.kind = 'tool' AND d.kind = 'llm') OR (d.kind = 'tool' AND c.kind = 'llm') AS r1, (c.kind = 'agent' AND d.kind = 'service') OR (d.kind = 'agent' AND c.kind = 'service') AS r2, coalesce(j, false) AS r3
+            FROM interactions i JOIN k ON k.interaction_id = i.id LEFT JOIN entities c ON c.id = i.caller_entity_id LEFT JOIN entities d ON d.id = i.callee_entity_id),
+        g AS (SELECT id, coalesce(r1, false) AS r1, coalesce(r2, false) AS r2, r3 FROM f)
+        SELECT id, concat_ws(',', CASE WHEN r1 THEN 'R1' END, CASE WHEN r2 THEN 'R2' END, CASE WHEN r3 THEN 'R3' END) AS fired,
+               CASE WHEN r1 THEN 'high' WHEN r2 THEN 'medium' WHEN r3 THEN 'low' ELSE 'none' END AS risk_level, CASE WHEN r2 THEN 'block' WHEN r1 THEN 'redact' WHEN r3 THEN 'notify' ELSE 'allow' END AS enforcement,
+               CASE WHEN r1 AND r2 THEN 'a tool hands data to a model; an agent calls a service' WHEN r1 THEN 'a tool hands data to a model' WHEN r2 THEN 'an agent calls a service' WHEN r3 THEN 'JSON bodies' ELSE '' END AS explanation,
+               CASE WHEN r2 THEN 0.8 WHEN r1 THEN 0.9 WHEN r3 THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM g"""
+
 SQL = {
     "interaction_legs_summary": """WITH one AS (SELECT * FROM interaction_legs QUALIFY row_number() OVER (PARTITION BY interaction_id, leg_type ORDER BY seq) = 1),
         top AS (SELECT interaction_id, max(seq) AS max_seq FROM interaction_legs GROUP BY 1),
@@ -228,13 +269,9 @@ SQL = {
         below AS (SELECT t.trace_id, t.id FROM (SELECT trace_id, id, unnest(seen) AS step FROM tops) t JOIN bad b ON b.id = t.step)
         SELECT DISTINCT trace_id, replace(id, '-', '') AS id FROM (SELECT * FROM above UNION ALL SELECT * FROM below)""",
     "recent_legs": "SELECT interaction_id, leg_type, seq, occurred_at FROM interaction_legs QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY seq DESC) = 1",
-    "rule_decisions": """WITH k AS (SELECT interaction_id, bool_or(content_kind = 'json') AS j FROM interaction_legs GROUP BY 1),
-        f AS (
-            SELECT i.id, (c.kind = 'tool' AND d.kind = 'llm') OR (d.kind = 'tool' AND c.kind = 'llm') AS r1, (c.kind = 'agent' AND d.kind = 'service') OR (d.kind = 'agent' AND c.kind = 'service') AS r2, coalesce(j, false) AS r3
-            FROM interactions i JOIN k ON k.interaction_id = i.id LEFT JOIN entities c ON c.id = i.caller_entity_id LEFT JOIN entities d ON d.id = i.callee_entity_id),
-        g AS (SELECT id, coalesce(r1, false) AS r1, coalesce(r2, false) AS r2, r3 FROM f)
-        SELECT id, concat_ws(',', CASE WHEN r1 THEN 'R1' END, CASE WHEN r2 THEN 'R2' END, CASE WHEN r3 THEN 'R3' END) AS fired,
-               CASE WHEN r1 THEN 'high' WHEN r2 THEN 'medium' WHEN r3 THEN 'low' ELSE 'none' END AS risk_level, CASE WHEN r2 THEN 'block' WHEN r1 THEN 'redact' WHEN r3 THEN 'notify' ELSE 'allow' END AS enforcement,
-               CASE WHEN r1 AND r2 THEN 'a tool hands data to a model; an agent calls a service' WHEN r1 THEN 'a tool hands data to a model' WHEN r2 THEN 'an agent calls a service' WHEN r3 THEN 'JSON bodies' ELSE '' END AS explanation,
-               CASE WHEN r2 THEN 0.8 WHEN r1 THEN 0.9 WHEN r3 THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM g""",
+    "rule_decisions": _RULES,
+    "rule_ranking": f"""WITH d AS ({_RULES}), x AS (SELECT i.trace_id, risk_level, unnest(string_split(fired, ',')) AS rule_id FROM d JOIN interactions i USING (id) WHERE fired <> '')
+        SELECT rule_id, count(*) AS n_fired, count(DISTINCT trace_id) AS n_traces, count(*) FILTER (risk_level = 'critical') AS n_critical, count(*) FILTER (risk_level = 'high') AS n_high, count(*) FILTER (risk_level = 'medium') AS n_medium,
+               count(*) FILTER (risk_level = 'low') AS n_low, count(*) FILTER (risk_level = 'none') AS n_none, CASE rule_id WHEN 'R1' THEN 'high' WHEN 'R2' THEN 'medium' ELSE 'low' END AS rule_level FROM x GROUP BY rule_id""",
+    "enforcement_shares": f"WITH d AS ({_RULES}), n AS (SELECT enforcement, count(*) AS n FROM d WHERE fired <> '' GROUP BY 1) SELECT enforcement, n, round(100.0 * n / sum(n) OVER (), 1)::DOUBLE AS percent FROM n",
 }

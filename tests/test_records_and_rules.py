@@ -149,3 +149,30 @@ def test_graph_of_calls(spark):
     assert {(r.caller_key, r.callee_key) for r in graphs.calls(df).collect()} == {("agent:boss", "llm:m1"), ("agent:boss", "tool:t")}
     assert {r.span_id: r.component for r in graphs.components(df).collect()} == {"1": "1", "2": "1", "3": "1", "5": "5"}
     assert graphs.stack_pairs([(1, "x", True), (2, "x", True), (3, "x", False), (4, "x", False), (5, "x", False)]) == [(2, 3), (1, 4)]
+
+
+def test_shares_ranking_and_fingerprints(spark):
+    d = spark.createDataFrame([("t", ["a", "b"], "high"), ("t", ["a"], "low"), ("u", ["z"], "low"), ("v", [], "none")], "trace_id string, fired array<string>, risk_level string")
+    got = records.top_rules(d, spark.createDataFrame([("a", "low"), ("b", "high")], "rule_id string, rule_level string")).collect()
+    assert [(r.rule_id, r.n_fired, r.n_traces, r.n_low) for r in got] == [("b", 1, 1, 0), ("a", 2, 1, 1), ("z", 1, 1, 1)]
+    assert {(r.risk_level, r.n, r.percent) for r in records.shares(d, "risk_level").collect()} == {("high", 1, 25.0), ("low", 2, 50.0), ("none", 1, 25.0)}
+    assert records.shares(d.limit(0), "risk_level").count() == 0
+    ev = records.fingerprint(spark.createDataFrame([("k", 1, None), ("l", 1, "x"), ("m", None, "x")], "id string, a int, b string"), ["a", "b"])
+    old = ev.where("id <> 'm'").withColumn("version", F.lit(1)).unionByName(ev.where("id = 'l'").withColumn("fingerprint", F.lit("older")).withColumn("version", F.lit(0)))
+    assert [r.id for r in records.to_evaluate(ev, old, "id").collect()] == ["m"] and ev.select("fingerprint").distinct().count() == 3
+
+
+def test_messages_and_calls_nobody_saw(spark):
+    import json
+
+    from spanloom.operators import identity
+
+    doc = json.dumps({"openinference.span.kind": "LLM", "llm.input_messages.0.message.role": "user", "llm.input_messages.0.message.content": "hi", "llm.output_messages": [{"message.role": "assistant", "message.tool_calls": [{"tool_call.function.name": "seen"}, {"tool_call.function.name": "unseen"}]}]})
+    df = span(spark, [("a", "1", None, 1, doc, "s", None, True), ("a", "2", "1", 2, json.dumps({"openinference.span.kind": "TOOL", "tool.name": "seen"}), "s", None, True)])
+    assert {(r.side, r.position, r.role, r.content, r.n_tool_calls) for r in identity.messages(df).collect()} == {("input", 0, "user", "hi", 0), ("output", 0, "assistant", None, 2)}
+    assert [(r.tool, r.n_asked, r.n_seen) for r in identity.inferred_tool_calls(df).collect()] == [("unseen", 1, 0)]
+
+
+def test_bodies_that_cannot_be_read(spark):
+    legs = spark.createDataFrame([("x",), ("x...[truncated]",), (None,)], "body string")
+    assert [r.unread for r in interactions.unread_bodies(legs).collect()] == [None, "truncated", "not captured"]
