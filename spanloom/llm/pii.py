@@ -218,7 +218,8 @@ def _context(text: str, start: int, end: int) -> list[str]:
     n1 = after.group().lower() if after else "$"
     # the nearest words before, as marks often stand between
     words = [t for t in (p1, p2, p3) if t[0].isalpha()]
-    return ["bias", f"p1={p1}", f"p2={p2}_{p1}", f"n1={'#' if n1.isdigit() else n1}", f"pw={words[0] if words else '^'}", f"pww={'_'.join(words[:2])}"]
+    cut = ["cut"] if text.startswith(("..", "…"), end) else []  # the text breaks off here
+    return ["bias", *cut, f"p1={p1}", f"p2={p2}_{p1}", f"n1={'#' if n1.isdigit() else n1}", f"pw={words[0] if words else '^'}", f"pww={'_'.join(words[:2])}"]
 
 
 @cache

@@ -202,6 +202,9 @@ class Writer:
                 text += r.choice([" ", " ", " ", "\n"])
             gold += [(a + len(text), b + len(text), c) for a, b, c in g]
             text += s
+        if r.random() < 0.15:
+            s = self.fill(r.choice(PLAIN))[0]
+            text += f" {s[: r.randrange(4, len(s))]}...[truncated]"
         return text, gold
 
 
