@@ -41,4 +41,29 @@ def p8_forms(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p6_pack, p6_fill, p6_mixture, p7_found, p8_found, p8_forms)}
-SQL: dict[str, str] = {}
+
+
+def _form(text: str) -> str:
+    """SQL for the one form of a text, as far as the tables need it: shapes and widths by translate, invisible characters
+    by a pattern, accents by normalisation."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    spaces = "".join(map(chr, [0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
+    accented = {"ё": "ë", "Ё": "Ë", "ї": "ï", "ό": "ó", "ѐ": "è"}
+    shapes = {**lookalikes.SAME_SHAPE, **accented}
+    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+    of = wide + "".join(shapes) + spaces
+    to = plain + "".join(shapes.values()) + " " * len(spaces)
+    hidden = "".join(f"{chr(a)}-{chr(b)}" for a, b in lookalikes.INVISIBLE if 0xAD <= a < 0xFFF0)
+    return f"nfc_normalize(translate(regexp_replace({text}, '[{hidden}]', '', 'g'), '{of}', '{to}'))"
+
+
+_WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}\\p{{M}}]+')"
+SQL = {
+    "p7_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format(_form('text'))} AS w FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, {_WORDS.format(_form('text'))} AS w FROM eval_items WHERE text IS NOT NULL),
+        dw AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+        iw AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)""",
+    "p8_found": f"""WITH f AS (SELECT doc_id, text, {_form('text')} AS f FROM documents WHERE text IS NOT NULL)
+        SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text""",
+}
