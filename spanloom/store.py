@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the intermediate tables this process has made; for when the results built on them have been written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        p = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
 class Workspace:
     """Names, writes, re-reads and drops the intermediate tables of one operator call."""
 
@@ -28,6 +39,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _made.append(self.root)
 
     def save(self, df: DataFrame) -> tuple[DataFrame, str]:
         """Writes ``df`` and reads it back with the same schema; returns it with its path."""

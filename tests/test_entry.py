@@ -13,3 +13,15 @@ def test_problem_queries_on_the_smallest_tables(spark, sf):
         assert df.columns == columns
         rows = df.collect()
         assert len(rows) == len(set(rows)) > 0
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from spanloom import store
+
+    work = store.Workspace(spark, "t")
+    _, path = work.save(spark.range(3))
+    assert Path(path.removeprefix("file://")).exists()
+    store.clear(spark)
+    assert not Path(path.removeprefix("file://")).exists()
