@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,7 +220,7 @@ def canonical(col: pa.Array) -> pa.Array:
     out = whole.take(pa.array(index))
     if col.null_count:
         nulls = col.is_null()
-        out = pa.compute.if_else(nulls, pa.scalar(None, pa.large_string()), out)
+        out = pc.if_else(nulls, pa.scalar(None, pa.large_string()), out)
     return out
 
 
@@ -227,8 +228,6 @@ def add_canonical(df: DataFrame, text: str, out: str, keep: list[str]) -> DataFr
     """Columns ``keep`` and ``out``, the one form of ``text``. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], canonical(b.column(b.num_columns - 1)).cast(pa.string())], names=[*[f"k{i}" for i in range(len(keep))], "c"])
 
