@@ -165,7 +165,7 @@ def version_tokens(legs: DataFrame, interactions: DataFrame) -> DataFrame:
     row = F.concat_ws("|", "interaction_id", "leg_type", F.unix_micros("occurred_at").cast("string"), F.coalesce("payload_hash", F.lit("")), F.coalesce(F.col("error").cast("string"), F.lit("")), F.col("seq").cast("string"))
     rows = legs.join(interactions.select(F.col("id").alias("interaction_id"), "trace_id"), "interaction_id").select("trace_id", "seq", F.md5(row).alias("d"))
     # 128-bit digests are added as four 32-bit sums: order-free, mergeable before the shuffle, no list per trace
-    parts = [F.sum(F.conv(F.substring("d", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(4)]
+    parts = [F.sum(F.conv(F.substring("d", 1 + 8 * i, 8), 16, 10).cast("long")).alias(f"p{i}") for i in range(4)]
     return rows.groupBy("trace_id").agg(F.count("*").alias("n_legs"), F.max("seq").alias("max_seq"), *parts)
 
 

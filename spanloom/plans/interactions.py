@@ -258,7 +258,7 @@ SQL = {
     "version_tokens": """WITH d AS (
             SELECT i.trace_id, l.seq, md5(concat_ws('|', interaction_id, leg_type, CAST(epoch_us(occurred_at) AS VARCHAR), coalesce(payload_hash, ''), coalesce(CAST(error AS VARCHAR), ''), CAST(l.seq AS VARCHAR))) AS d
             FROM interaction_legs l JOIN interactions i ON i.id = l.interaction_id)
-        SELECT trace_id, count(*) AS n_legs, max(seq) AS max_seq, sum(CAST('0x' || d[1:8] AS BIGINT)) AS p0, sum(CAST('0x' || d[9:16] AS BIGINT)) AS p1, sum(CAST('0x' || d[17:24] AS BIGINT)) AS p2, sum(CAST('0x' || d[25:32] AS BIGINT)) AS p3
+        SELECT trace_id, count(*) AS n_legs, max(seq) AS max_seq, CAST(sum(CAST('0x' || d[1:8] AS BIGINT)) AS BIGINT) AS p0, CAST(sum(CAST('0x' || d[9:16] AS BIGINT)) AS BIGINT) AS p1, CAST(sum(CAST('0x' || d[17:24] AS BIGINT)) AS BIGINT) AS p2, CAST(sum(CAST('0x' || d[25:32] AS BIGINT)) AS BIGINT) AS p3
         FROM d GROUP BY 1""",
     "interaction_depths": f"{_FOREST} SELECT trace_id, replace(id, '-', '') AS id, replace(cur, '-', '') AS root_id, d AS depth FROM tops",
     "error_ancestors": f"""{_FOREST}, bad AS (SELECT DISTINCT interaction_id AS id FROM interaction_legs WHERE error),
