@@ -176,3 +176,11 @@ def test_messages_and_calls_nobody_saw(spark):
 def test_bodies_that_cannot_be_read(spark):
     legs = spark.createDataFrame([("x",), ("x...[truncated]",), (None,)], "body string")
     assert [r.unread for r in interactions.unread_bodies(legs).collect()] == [None, "truncated", "not captured"]
+
+
+def test_tunnels(spark):
+    from spanloom.operators import identity
+
+    ask = side("request", "outbound", "http", "b1", "m", **{"http.method": "CONNECT"})
+    rows = [("t", "b1", None, 1, ask, "s", "CLIENT", True), ("t", "b2", "b1", 2, side("response", "outbound", "http", "b1", "m"), "s", "CLIENT", True), ("u", "b1", None, 1, ask, "s", "CLIENT", True), ("u", "b3", "b1", 2, None, "s", None, True), ("v", "c1", None, 1, side("request", "outbound", "http", "c1", "m", **{"http.method": "GET"}), "s", "CLIENT", True)]
+    assert [tuple(r) for r in identity.tunnel_traces(span(spark, rows)).collect()] == [("t", 2)]
