@@ -107,16 +107,20 @@ def _clean(texts: list[str]) -> pa.Array:
         return pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())
 
 
-def flatten(df: DataFrame, key: str, json_columns: list[str], array_columns: list[str], fields: bool = False) -> DataFrame:
+def flatten(df: DataFrame, key: str, json_columns: list[str], array_columns: list[str], fields: bool = False, struct_keys: bool = False) -> DataFrame:
     """Node table of ``df``: ``key``, ``path``, ``parent_path`` ('' at the top), with ``fields`` also ``schema_path`` and
     ``fields`` (JSON of the element's scalars).
 
-    ``json_columns`` hold JSON documents; ``array_columns`` are arrays of structs whose ``attributes`` holds one: each of
-    their non-null structs is an element itself. One pass over the scan, no shuffle, memory of one batch.
+    ``json_columns`` hold JSON documents; ``array_columns`` are arrays of structs: each of their non-null structs is an
+    element itself. With ``struct_keys`` all fields of the struct are keys of the element, null ones left out, and a string
+    that holds JSON is read, so its elements are ``events.0.attributes.f.0``: a label names every key that leads to an
+    element, and a key of attributes can't meet a field of the struct by the same name. Without, only the struct's
+    ``attributes`` is read, as if it were the struct (``events.0.f.0``). One pass over the scan, no shuffle, memory of one batch.
     """
     json_columns, array_columns = list(json_columns), list(array_columns)
     docs = [F.col(c).cast("string").alias(f"j{i}") for i, c in enumerate(json_columns)]
-    docs += [F.transform(c, lambda e: F.when(e.isNotNull(), F.coalesce(e["attributes"].cast("string"), F.lit("")))).alias(f"a{i}") for i, c in enumerate(array_columns)]
+    own = (lambda e: F.to_json(e)) if struct_keys else (lambda e: F.coalesce(e["attributes"].cast("string"), F.lit("")))
+    docs += [F.transform(c, lambda e: F.when(e.isNotNull(), own(e))).alias(f"a{i}") for i, c in enumerate(array_columns)]
     kind = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,11 +12,11 @@ JSON_COLUMNS, ARRAY_COLUMNS = ["attributes", "resource_attributes"], ["events",
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    return nested.flatten(table(spark, base, "spans"), "arrival_seq", JSON_COLUMNS, ARRAY_COLUMNS).select("arrival_seq", "parent_path", "path")
+    return nested.flatten(table(spark, base, "spans"), "arrival_seq", JSON_COLUMNS, ARRAY_COLUMNS, struct_keys=True).select("arrival_seq", "parent_path", "path")
 
 
 def p1_tables(spark: SparkSession, base: str) -> DataFrame:
-    return nested.table_report(nested.flatten(table(spark, base, "spans"), "arrival_seq", JSON_COLUMNS, ARRAY_COLUMNS, fields=True))
+    return nested.table_report(nested.flatten(table(spark, base, "spans"), "arrival_seq", JSON_COLUMNS, ARRAY_COLUMNS, fields=True, struct_keys=True))
 
 
 def p1_tool_calls(spark: SparkSession, base: str) -> DataFrame:

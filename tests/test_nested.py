@@ -86,3 +86,17 @@ def test_child_tables_keep_the_parent_and_the_scalars(spark):
     assert json.loads(root.fields) == {"top": True}
     report = {r.schema_path: (r.n_rows, r.n_with_parent) for r in nested.table_report(nodes).collect()}
     assert report["attributes.m.*"] == (2, 0) and report["attributes.m.*.calls.*"] == (2, 2)
+
+
+def test_all_fields_of_a_struct_are_keys_of_its_element(spark):
+    rows = [(1, None, None, [("e", 5, '{"f": [{"g": 1}], "name": "n"}'), None, (None, None, "cut{"), ("[{}]", 6, None)], [("t", "s", None), (None, None, None)], "x")]
+    df = spark.createDataFrame(rows, ROW)
+    nodes = nested.flatten(df, "arrival_seq", ["attributes"], ["events", "links"], fields=True, struct_keys=True)
+    got = {r.path: (r.parent_path, json.loads(r.fields)) for r in nodes.collect()}
+    assert got == {
+        "events.0": ("", {"name": "e", "time_unix_nano": 5, "attributes.name": "n"}), "events.0.attributes.f.0": ("events.0", {"g": 1}), "events.2": ("", {"attributes": "cut{"}),
+        "events.3": ("", {"time_unix_nano": 6}), "events.3.name.0": ("events.3", {}), "links.0": ("", {"trace_id": "t", "span_id": "s"}), "links.1": ("", {}),
+    }
+    assert {(r.path, r.parent_path) for r in nested.flatten(df, "arrival_seq", ["attributes"], ["events", "links"], struct_keys=True).collect()} == {(p, v[0]) for p, v in got.items()}
+    table = nested.child_table(nodes, "arrival_seq", "events.*", {"name": "string", "time_unix_nano": "long"}).where("position = 0").first()
+    assert (table.name, table.time_unix_nano) == ("e", 5)
