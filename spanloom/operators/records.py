@@ -86,6 +86,14 @@ def append_changed(stored: DataFrame, new: DataFrame, key: Sequence[str], conten
     return changed.withColumn("version", F.coalesce(F.col("_v"), F.lit(0)) + 1).drop("_v", "_old", "_new")
 
 
+def version_changes(df: DataFrame, key: str, content: Sequence[str], version: str = "version", ties: Sequence[str] = ()) -> DataFrame:
+    """The rows whose content differs from that of the version before, whatever its number; the first version of a key has
+    none before it and ``_first`` set. Null equals null; rows without a version are in no order and left out."""
+    w = Window.partitionBy(key).orderBy(version, *ties)
+    rows = df.where(F.col(version).isNotNull()).withColumn("_new", F.struct(*content)).withColumn("_old", F.lag("_new").over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    return rows.where(F.col("_first") | ~F.col("_old").eqNullSafe(F.col("_new"))).drop("_old", "_new")
+
+
 def changed_keys(old: DataFrame, new: DataFrame, key: Sequence[str], content: Sequence[str]) -> DataFrame:
     """Keys that were added, removed or changed between two tables with one row per key."""
     a = old.select(*key, F.struct(*content).alias("_a"), F.lit(1).alias("_in_a"))

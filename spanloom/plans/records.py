@@ -59,13 +59,26 @@ def risk_escalations(spark: SparkSession, base: str) -> DataFrame:
 
 
 def risk_changes(spark: SparkSession, base: str) -> DataFrame:
-    """Versions whose level differs from the version before: what an append that skips unchanged content would have kept."""
+    """What an append that skips unchanged content makes of the second versions, with the first as stored. Versions from 3 on
+    are no part of it, as its SQL has it; ``risk_version_changes`` compares every version with the one before."""
     old = _all(spark, base).where("version = 1")
     new = records.latest(_all(spark, base).where("version <= 2"), "trace_id")
     return records.append_changed(old, new.drop("version"), ["trace_id"], ["trace_risk_level", "interaction_count"]).select("trace_id", "trace_risk_level", "interaction_count", "version")
 
 
+def risk_version_changes(spark: SparkSession, base: str) -> DataFrame:
+    """Versions, of any number, whose level or count differs from the version before: what an append that skips unchanged content would have kept."""
+    return records.version_changes(_all(spark, base), "trace_id", ["trace_risk_level", "interaction_count"], ties=["trace_risk_id"]).select("trace_id", "version", "trace_risk_level", "interaction_count")
+
+
+def risk_version_changed_keys(spark: SparkSession, base: str) -> DataFrame:
+    """Traces with a version, of any number, that differs from the one before in level or policy events."""
+    rows = records.version_changes(_all(spark, base), "trace_id", ["trace_risk_level", "policy_event_count"], ties=["trace_risk_id"])
+    return rows.where("not _first").select("trace_id").distinct()
+
+
 def risk_changed_keys(spark: SparkSession, base: str) -> DataFrame:
+    """Traces that differ between their first and second version; later ones are in ``risk_version_changed_keys``."""
     a = _all(spark, base)
     return records.changed_keys(a.where("version = 1"), a.where("version = 2"), ["trace_id"], ["trace_risk_level", "policy_event_count"])
 
@@ -80,10 +93,13 @@ def risk_by_namespace(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy("namespace").agg(F.count_distinct("trace_id").alias("n_traces"), F.count("*").alias("n_mentions"))
 
 
-QUERIES = {f.__name__: f for f in (current_risk, risk_distribution, risk_history, risk_top_traces, risk_next_page, risk_roll_up, risk_watermark, risk_escalations, risk_changes, risk_changed_keys, risk_by_namespace)}
+QUERIES = {f.__name__: f for f in (current_risk, risk_distribution, risk_history, risk_top_traces, risk_next_page, risk_roll_up, risk_watermark, risk_escalations, risk_changes, risk_changed_keys, risk_version_changes, risk_version_changed_keys, risk_by_namespace)}
 
 _CURRENT = "WITH current AS (SELECT * FROM trace_risk_records QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY version DESC) = 1)"
 _RANK = "coalesce(list_position(['critical', 'high', 'medium', 'low', 'none', 'unknown'], trace_risk_level), 7)"
+_LAGGED = """o AS (
+        SELECT *, row_number() OVER w AS n, lag(trace_risk_level) OVER w AS level_before, lag(interaction_count) OVER w AS count_before, lag(policy_event_count) OVER w AS events_before
+        FROM trace_risk_records WHERE version IS NOT NULL WINDOW w AS (PARTITION BY trace_id ORDER BY version, trace_risk_id NULLS FIRST))"""
 SQL = {
     "current_risk": f"{_CURRENT} SELECT * FROM current",
     "risk_distribution": f"""{_CURRENT} SELECT v AS trace_risk_level, count(c.trace_id) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low', 'none']) AS v)
@@ -103,6 +119,10 @@ SQL = {
     "risk_changed_keys": """WITH a AS (SELECT * FROM trace_risk_records WHERE version = 1), b AS (SELECT * FROM trace_risk_records WHERE version = 2)
         SELECT coalesce(a.trace_id, b.trace_id) AS trace_id FROM a FULL JOIN b ON a.trace_id = b.trace_id
         WHERE a.trace_id IS NULL OR b.trace_id IS NULL OR a.trace_risk_level IS DISTINCT FROM b.trace_risk_level OR a.policy_event_count IS DISTINCT FROM b.policy_event_count""",
+    "risk_version_changes": f"""WITH {_LAGGED} SELECT trace_id, version, trace_risk_level, interaction_count FROM o
+        WHERE n = 1 OR trace_risk_level IS DISTINCT FROM level_before OR interaction_count IS DISTINCT FROM count_before""",
+    "risk_version_changed_keys": f"""WITH {_LAGGED} SELECT DISTINCT trace_id FROM o
+        WHERE n > 1 AND (trace_risk_level IS DISTINCT FROM level_before OR policy_event_count IS DISTINCT FROM events_before)""",
     "risk_by_namespace": f"""{_CURRENT}, m AS (SELECT DISTINCT i.id, i.trace_id, e.id AS eid, e.namespace FROM interactions i JOIN entities e ON e.id IN (i.caller_entity_id, i.callee_entity_id))
         SELECT namespace, count(DISTINCT trace_id) AS n_traces, count(*) AS n_mentions FROM m WHERE trace_id IN (SELECT trace_id FROM current WHERE trace_risk_level IN ('high', 'critical')) GROUP BY 1""",
 }

@@ -43,6 +43,26 @@ def test_append_changed_takes_null_as_equal(spark):
     assert {(r.key, r.version) for r in records.append_changed(old, new, ["key"], ["a", "b"]).collect()} == {("l", 4), ("m", 1)}
 
 
+def test_every_version_is_compared_with_the_one_before(spark):
+    got = records.version_changes(recs(spark), "trace_id", ["trace_risk_level", "interaction_count"]).collect()
+    assert {(r.trace_id, r.version, r._first) for r in got} == {("t", 1, True), ("t", 2, False), ("t", 3, False), ("t", 4, False), ("u", 1, True)}
+    same = records.version_changes(recs(spark), "trace_id", ["interaction_count", "policy_event_count"]).collect()
+    assert {(r.trace_id, r.version) for r in same} == {("t", 1), ("t", 2), ("u", 1)}
+
+
+def test_versions_from_the_third_on_come_out(spark, sf):
+    from spanloom.plans.records import risk_version_changed_keys, risk_version_changes
+
+    rows = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/trace_risk_records.parquet").orderBy("trace_id", "version").collect()
+    pairs = [(a, b) for a, b in zip(rows, rows[1:]) if a.trace_id == b.trace_id]
+    want = {(b.trace_id, b.version) for a, b in pairs if (a.trace_risk_level, a.interaction_count) != (b.trace_risk_level, b.interaction_count)} | {(r.trace_id, 1) for r in rows if r.version == 1}
+    base = sf.replace("0.001", "0.01")
+    got = {(r.trace_id, r.version) for r in risk_version_changes(spark, base).collect()}
+    assert got == want and max(v for _, v in got) > 2
+    keys = {b.trace_id for a, b in pairs if (a.trace_risk_level, a.policy_event_count) != (b.trace_risk_level, b.policy_event_count)}
+    assert {r.trace_id for r in risk_version_changed_keys(spark, base).collect()} == keys
+
+
 def test_tri_state_error_duration_and_repeated_legs(spark):
     t = lambda s: dt.datetime(2020, 1, 1, 0, 0, s)
     rows = [("1", "request", t(1), None, None, None, 1), ("1", "response", t(3), None, False, None, 2), ("1", "response", t(9), None, True, None, 7), ("2", "request", t(1), None, None, None, 3), ("3", "response", None, None, True, None, 4)]
