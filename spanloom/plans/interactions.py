@@ -141,20 +141,27 @@ def documents_redacted(spark: SparkSession, base: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(classify.redacted(F.col("text"), F.col("found")), 256).alias("digest"), F.size("found").alias("n_findings"))
 
 
-def label_edges(spark: SparkSession, base: str) -> DataFrame:
-    """Classified values followed over the legs that the spans tell of; a leg's findings are the places it names."""
-    plan = interactions.plan(table(spark, base, "spans"))
-    who = plan["interactions"].select("trace_id", "anchor_span_id", "caller_key", "callee_key")
-    legs = plan["legs"].where("body is not null").select("trace_id", "anchor_span_id", "leg_type", "occurred_at", classify.classifiable_text(F.col("body")).alias("text"))
+def _label_legs(plan: dict[str, DataFrame]) -> DataFrame:
+    """All legs of a plan in causal order, with text and findings; a leg without a body keeps its place, as it still
+    replaces what its consumer last received."""
+    who = plan["interactions"].select("trace_id", F.col("anchor_span_id").alias("interaction_id"), F.col("parent_span_id").alias("parent"), "caller_key", "callee_key")
+    legs = plan["legs"].withColumnRenamed("anchor_span_id", "interaction_id")
+    # the spans give legs no seq; legs of one time are told apart by their ids
+    at = order.positions(legs.select("trace_id", "interaction_id", "leg_type", F.unix_micros("occurred_at").alias("at"), F.lit(0).alias("seq")).join(who.select("trace_id", "interaction_id", "parent"), ["trace_id", "interaction_id"]))
+    legs = legs.select("trace_id", "interaction_id", "leg_type", classify.classifiable_text(F.col("body")).alias("text"))
     request = F.col("leg_type") == "request"
-    rows = legs.join(who, ["trace_id", "anchor_span_id"]).select(
-        "trace_id", F.unix_micros("occurred_at").alias("position"), F.col("anchor_span_id").alias("interaction_id"), "leg_type", F.when(request, F.col("caller_key")).otherwise(F.col("callee_key")).alias("producer"),
+    rows = legs.join(at, ["trace_id", "interaction_id", "leg_type"]).join(who, ["trace_id", "interaction_id"]).select(
+        "trace_id", "position", "interaction_id", "leg_type", F.when(request, F.col("caller_key")).otherwise(F.col("callee_key")).alias("producer"),
         F.when(request, F.col("callee_key")).otherwise(F.col("caller_key")).alias("consumer"), "text", classify.detect(F.col("text"), place_detector).alias("f"),
     )
-    rows = rows.withColumn("consumer_kind", F.split_part("consumer", F.lit(":"), F.lit(1))).withColumn(
+    return rows.withColumn("consumer_kind", F.split_part("consumer", F.lit(":"), F.lit(1))).withColumn(
         "findings", F.transform("f", lambda x: F.struct(x["tag"].alias("entity_type"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.array(x["tag"]).alias("tags"), F.lit("CONFIDENTIAL").alias("level")))
-    )
-    return labels.derive(rows.drop("f"))
+    ).drop("f")
+
+
+def label_edges(spark: SparkSession, base: str) -> DataFrame:
+    """Classified values followed over the legs that the spans tell of; a leg's findings are the places it names."""
+    return labels.derive(_label_legs(interactions.plan(table(spark, base, "spans"))))
 
 
 def label_summary(spark: SparkSession, base: str) -> DataFrame:
