@@ -169,7 +169,7 @@ def label_summary(spark: SparkSession, base: str) -> DataFrame:
 
 
 def label_chains(spark: SparkSession, base: str) -> DataFrame:
-    return labels.chains(label_edges(spark, base))
+    return labels.chains(label_edges(spark, base), broken=True)
 
 
 #: Rules over flows of an interaction, for the query below; a deployment brings its own.
