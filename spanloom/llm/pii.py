@@ -108,6 +108,11 @@ def _digit_shape(s: str) -> str:
     return out + ("e" if s.endswith("e") else "")
 
 
+_EXTENSION = re.compile(r",?\s(?:ext|extension|x)\.?\s?\d+$", re.I)
+#: Most digits of one number, its extension apart.
+NUMBER_DIGITS = 15
+#: Fewest digits of a candidate.
+LEAST_DIGITS = 6
 _MANY_DIGITS = re.compile(r"\d(?:[^\n]{0,3}?\d){5}")
 _NAME_HINT = re.compile(r"(?:[^\W\d_a-z]['’\w\-]*|[^\W\d_a-z]\.),? (?:[a-z]{2,3} ){0,2}[^\W\d_a-z]|[^\W\d_]\. [^\W\d_]")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -118,18 +123,39 @@ def _street_like(words: list[str]) -> bool:
     return any(w in _STREET_SET or w.endswith(_STREET_TAILS) for w in map(str.lower, words))
 
 
+_PART = re.compile(r"[^ ]+")
+
+
 def _digit_runs(m: re.Match) -> Iterator[tuple[int, int]]:
-    """A run of digit groups, and the runs left when groups parted by blanks are taken off either end."""
+    """A run of digit groups, and every run of neighbouring groups parted by blanks in it that has no more digits than a number
+    can have: their number is linear in the length of the run. Of a run with no more digits than one number has, those left
+    when groups are taken off either end, and the two sides of each blank that leaves LEAST_DIGITS on both."""
     a, b, s = m.start(), m.end(), m.group()
     yield a, b
-    cuts = [k.start() for k in re.finditer(r" ", s)]
-    if not 0 < len(cuts) <= 9 or "e" in s.lower():
+    ext = _EXTENSION.search(s)
+    parts = [k.span() for k in _PART.finditer(s, 0, ext.start() if ext else len(s))]
+    digits = [sum(map(str.isdigit, s[x:y])) for x, y in parts]
+    if sum(digits) <= NUMBER_DIGITS:
+        if not ext:
+            for start, _ in parts[1:3]:
+                yield a + start, b
+            if len(parts) > 1:
+                yield a, a + parts[-2][1]
+        for i in range(1, len(parts)):
+            if min(sum(digits[:i]), sum(digits[i:])) >= LEAST_DIGITS:
+                yield a, a + parts[i - 1][1]
+                yield a + parts[i][0], b
         return
-    joined = sum(map(str.isdigit, s)) > 15  # two numbers side by side
-    for k in cuts if joined else cuts[:2]:
-        yield a + k + 1, b
-    for k in cuts if joined else cuts[-1:]:
-        yield a, a + k
+    for i, (start, _) in enumerate(parts):
+        n = 0
+        for j in range(i, len(parts)):
+            end = parts[j][1]
+            n += digits[j]
+            if n > NUMBER_DIGITS:
+                break
+            yield a + start, a + end
+            if ext and j == len(parts) - 1:
+                yield a + start, b
 
 
 def candidates(text: str, people: People) -> list[Candidate]:
@@ -147,7 +173,7 @@ def candidates(text: str, people: People) -> list[Candidate]:
         for a, b in sorted(spans):
             s = text[a:b]
             n = sum(map(str.isdigit, s))
-            if n < 6:
+            if n < LEAST_DIGITS:
                 continue
             shape = _digit_shape(s)
             out.append(Candidate(a, b, ("phone", "identity_number"), [f"shape={shape}", f"n={n}", f"plus={s[0] == '+'}", f"paren={'(' in s}", f"ext={shape[-1] == 'e'}", f"head={s[:2] if s[0].isalpha() else s[0]}"]))

@@ -91,3 +91,17 @@ def test_operators(spark):
     clean = {r.arrival_seq: r.attributes for r in pii.redact(df.where("arrival_seq < 7"), people).collect()}
     assert clean[4] == '{"input.value": "cut' and clean[2] is None and "[EMAIL]" in clean[1] and json.loads(clean[1])["other"] == text
     assert pii.find(df.limit(0), people).count() == 0 and pii.find(df, None).count() > 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("tel 030-1234567 030-1234568 030-1234569", ["030-1234567", "030-1234568", "030-1234569"]), ("030 123 4567 030 123 4568 040 123 4569 040 123 4560", ["030 123 4567", "030 123 4568", "040 123 4569", "040 123 4560"]),
+        ("tel (808) 555-0138 (808) 555-0139 (808) 555-0140 ext 5", ["(808) 555-0138", "(808) 555-0139", "(808) 555-0140 ext 5"]), ("phone 555 0138 555 0139", None), ("tel " + " ".join(["030 123 4567"] * 50), ["030 123 4567"] * 50),
+    ],
+)
+def test_each_of_several_numbers_parted_by_blanks_is_a_candidate(text, want):
+    offered = {text[c.start : c.end] for c in pii.candidates(text, PEOPLE)}
+    assert set(want or ["555 0138", "555 0139"]) <= offered and len(pii.candidates(text, PEOPLE)) < 20 * len(text)
+    if want:
+        assert [text[a:b] for a, b, _ in FINDER.entities(text)] == want
