@@ -114,7 +114,11 @@ NUMBER_DIGITS = 15
 #: Fewest digits of a candidate.
 LEAST_DIGITS = 6
 _MANY_DIGITS = re.compile(r"\d(?:[^\n]{0,3}?\d){5}")
-_NAME_HINT = re.compile(r"(?:[^\W\d_a-z]['’\w\-]*|[^\W\d_a-z]\.),? (?:[a-z]{2,3} ){0,2}[^\W\d_a-z]|[^\W\d_]\. [^\W\d_]")
+_BLANK = r"[^\S\n]"
+_GAP = rf"(?:{_BLANK}+,?|,){_BLANK}*"
+# What each shape without a known lower-case word holds: two capital words or initials, at most a comma and two particles between.
+_NAME_HINT = re.compile(rf"[^\W\d_a-z][^\W\d_]*(?:['’\-][^\W\d_]+)*\.?{_GAP}(?:(?:{'|'.join(sorted(PARTICLES))}){_BLANK}+){{0,2}}[^\W\d_a-z]")
+_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
 
@@ -184,13 +188,18 @@ def candidates(text: str, people: People) -> list[Candidate]:
                 s = m.group()
                 n = sum(1 for w in s.split() if w[0].isalpha())
                 out.append(Candidate(m.start(), m.end(), ("street_address",), [f"kind={kind}", f"word={m.group('w').lower()}", f"words={n}", f"lower={s.islower()}", f"kw={kind}{n}", *[f"in={w.lower()}" for w in re.findall(r"[^\W\d_]+", s)[:6]]]))
-    if _NAME_HINT.search(text) or any(w.islower() and people.kind(w) != "w" for w in words):
+    if _may_name(text, people):
         _names(text, people, out)
     for c in out:
         c.features += _context(text, c.start, c.end)
     return out
 
 
+def _may_name(text: str, people: People) -> bool:
+    """Whether ``_names`` could find a candidate; never false where it would."""
+    return bool(_NAME_HINT.search(text)) or any(not w[0].isupper() and people.kind(w) != "w" for w in _WORD.findall(text))
+
+
 def _names(text: str, people: People, out: list[Candidate]) -> None:
     tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
     code = []

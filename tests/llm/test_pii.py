@@ -105,3 +105,26 @@ def test_each_of_several_numbers_parted_by_blanks_is_a_candidate(text, want):
     assert set(want or ["555 0138", "555 0139"]) <= offered and len(pii.candidates(text, PEOPLE)) < 20 * len(text)
     if want:
         assert [text[a:b] for a, b, _ in FINDER.entities(text)] == want
+
+
+@pytest.mark.parametrize("text", ["Anna della Torre", "Anna  Torre", "Anna\u00a0Torre", "Torre,Anna", "Torre , A.", "Anna  de la Torre", "Jean-Luc\tO’Neil", "jean-luc tor"])
+def test_names_are_looked_for_whatever_parts_their_words(text):
+    people = pii.People(["Jean-Luc"], ["Quilworth"])
+    assert any(c.labels == ("name",) and (c.start, c.end) == (0, len(text)) for c in pii.candidates(text, people))
+
+
+def test_no_text_with_name_candidates_is_skipped():
+    import random
+
+    r = random.Random(7)
+    parts = ["Anna", "Torre", "anna", "A.", "a.", "É.", "della", "von", "zur", "O’Neil", "jean-luc", "mcDray", "xy", "the", "ÉLAN", "7", "_", "-", "x", ",", ".", "\n", "王小明", "quilworth", "Kebeus"]
+    gaps = ["", " ", "  ", "\u00a0", "\t", "\u2009", "\r", ",", ", ", " ,"]
+    people = pii.People(["Jean-Luc", "Kebeus", "王小明", "McDray"], ["Quilworth"])
+    some = 0
+    for _ in range(20_000):
+        text = "".join(r.choice(parts) + r.choice(gaps) for _ in range(r.randrange(1, 6)))
+        out = []
+        pii._names(text, people, out)
+        some += bool(out)
+        assert not out or pii._may_name(text, people), text
+    assert some > 1000
