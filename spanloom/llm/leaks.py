@@ -34,6 +34,12 @@ from spanloom.llm.lookalikes import canonical_points
 RUN, BLOCK, SUFFIX = 12, 2, 4
 #: Words of one lane of the search; lanes overlap by RUN - 1 words.
 LANE = 512
+#: Between these signs anything counts as a tag; what is longer must be built like one, or prose between signs would be lost.
+#: A value with blanks may be a passage itself, so a long tag with such a value stays text.
+ANY_TAG = 120
+LONG_TAG = re.compile(r"</?[a-z][\w:.-]*(?:\s+[\w:@.-]+\s*=\s*(?:\"[^\"\s]*\"|'[^'\s]*'|[^\s\"'<>=]+))*\s*/?>", re.I)
+#: The longest name of a character in HTML has 31 letters.
+LONGEST_ENTITY = 33
 #: Most characters of test items that are sent to the tasks.
 MAX_ITEM_CHARS = 64 << 20
 
@@ -70,8 +76,10 @@ def _mask_markup(p: np.ndarray, row: np.ndarray, word: np.ndarray) -> np.ndarray
         lt, end = lt[ok], gt[at[ok]]
         nxt = p[np.minimum(lt + 1, n - 1)]
         opens = ((nxt >= 97) & (nxt <= 122)) | (nxt == 47) | (nxt == 33)
-        ok = opens & (end - lt <= 120) & (row[lt] == row[end])
+        ok = opens & (row[lt] == row[end])
         ok[:-1] &= lt[1:][: len(ok) - 1] > end[:-1] if len(ok) > 1 else True
+        for i in np.flatnonzero(ok & (end - lt > ANY_TAG)).tolist():
+            ok[i] = LONG_TAG.fullmatch(p[lt[i] : end[i] + 1].astype("<u4").tobytes().decode("utf-32-le", "replace")) is not None
         d = np.zeros(n + 1, np.int32)
         np.add.at(d, lt[ok], 1)
         np.add.at(d, end[ok] + 1, -1)
@@ -87,10 +95,10 @@ def _mask_markup(p: np.ndarray, row: np.ndarray, word: np.ndarray) -> np.ndarray
         at = np.searchsorted(semi, amp)
         ok = at < len(semi)
         amp, end = amp[ok], semi[at[ok]]
-        ok = (end - amp <= 8) & (row[amp] == row[end])
+        ok = (end - amp <= LONGEST_ENTITY) & (row[amp] == row[end])
         word = word.copy()
         for a, b in zip(amp[ok].tolist(), end[ok].tolist()):
-            if not (p[a:b] == 32).any():
+            if word[a + 1 : b].all() if b - a > 8 else not (p[a:b] == 32).any():
                 word[a:b] = False
     return word
 
@@ -148,10 +156,13 @@ def words(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Patterns:
     """Shift table, suffix buckets and test strings of a set of items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], lower: bool = False):
         self.item_ids = [i for i, _ in items]
+        # capitals of other alphabets may look like other letters than their small ones: such texts are read both ways
+        self.lowered = None if lower else Patterns(items, True)
         raw, at = buffers(pa.array([t for _, t in items], pa.string()))
-        points, at = canonical_points(*decode(raw, at))
+        points, at = decode(raw, at)
+        points, at = canonical_points(_classes()[0][points] if lower else points, at)
         h, row, start, end, p = words(points, at)
         self.text = [p[a:b].astype("<u4").tobytes() for a, b in zip(start.tolist(), end.tolist())]
         self.alphabet = np.unique(h)
@@ -232,32 +243,37 @@ def find(patterns: Patterns, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a string column and indices of the items found in them, each pair once."""
     raw, offsets = buffers(col)
     odd = has_non_ascii(raw, offsets)
-    rows_out, items_out = [], []
+    pairs: dict[tuple[int, int], None] = {}
     for rows, plain in ((np.flatnonzero(~odd), True), (np.flatnonzero(odd), False)):
         if not len(rows):
             continue
         some, at = (raw, offsets) if len(rows) == len(odd) else take_rows(raw, offsets, rows)
         for i, j in chunks(at):
             points, o = decode(some[at[i] : at[j]], at[i : j + 1] - at[i])
-            if not plain:
-                points, o = canonical_points(points, o)
-            h, row, start, end, p = words(points, o)
-            place, string = patterns.search(h, row)
-            if not len(place):
+            if plain:
+                pairs.update(dict.fromkeys((int(rows[i + r]), k) for r, k in _find(patterns, points, o)))
                 continue
-            r, item = row[place], patterns.item[string]
-            order = np.lexsort((item, r))
-            done = None
-            for q in order.tolist():
-                pair = (int(r[q]), int(item[q]))
-                if pair == done:
-                    continue
-                a, b = int(place[q]), int(patterns.at[string[q]])
-                if all(p[start[a + x] : end[a + x]].astype("<u4").tobytes() == patterns.text[b + x] for x in range(RUN)):
-                    done = pair
-                    rows_out.append(int(rows[i + pair[0]]))
-                    items_out.append(pair[1])
-    return np.array(rows_out, np.int64), np.array(items_out, np.int64)
+            for these, before in ((patterns, points), (patterns.lowered, _classes()[0][points])):
+                pairs.update(dict.fromkeys((int(rows[i + r]), k) for r, k in _find(these, *canonical_points(before, o))))
+    return np.array([r for r, _ in pairs], np.int64), np.array([k for _, k in pairs], np.int64)
+
+
+def _find(patterns: Patterns, points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows and items of code points in the one form."""
+    h, row, start, end, p = words(points, offsets)
+    place, string = patterns.search(h, row)
+    if not len(place):
+        return
+    r, item = row[place], patterns.item[string]
+    done = None
+    for q in np.lexsort((item, r)).tolist():
+        pair = (int(r[q]), int(item[q]))
+        if pair == done:
+            continue
+        a, b = int(place[q]), int(patterns.at[string[q]])
+        if all(p[start[a + x] : end[a + x]].astype("<u4").tobytes() == patterns.text[b + x] for x in range(RUN)):
+            done = pair
+            yield pair
 
 
 def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
@@ -288,7 +304,7 @@ def brute_force(texts: list[str | None], items: list[str]) -> set[tuple[int, int
     def bare(t: str) -> list[str]:
         t = re.sub(r"<[a-zA-Z/!][^<>]{0,118}>", " ", t)
         t = re.sub(r"\\[ntr]", " ", t)
-        t = re.sub(r"&[^\s;&]{1,7};", " ", t)
+        t = re.sub(r"&[^\s;&]{1,32};", " ", t)
         t = re.sub(r"(?<=[^\W_])-\n(?=[^\W_])", "", t)
         return re.findall(r"[^\W_]+", t)
 

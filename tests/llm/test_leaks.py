@@ -56,3 +56,19 @@ def test_operator(spark):
     got = {tuple(x) for x in L.leaked(docs, items).collect()}
     assert {(d, i) for d, i in got if i == 3} == {(1, 3), (4, 3)} and (None, 1) in got
     assert L.leaked(docs.limit(0), items).count() == 0 and L.leaked(docs, items.limit(0)).count() == 0
+
+
+def test_long_tags_and_entities_are_mark_up_and_prose_between_signs_is_not():
+    w = ITEMS[4].split()
+    link = "<a class=x href='https://a.example/" + "path/of/many/words-" * 12 + "'>"
+    between = lambda x: " ".join(w[5:11]) + " " + x + " " + " ".join(w[11:17])
+    texts = [between(link), between("&CounterClockwiseContourIntegral;"), "if a <b then " + "more words " * 12 + " ".join(w[5:17]) + " > c", f"<img title='{' '.join(w[5:17])} {'more words ' * 12}'>", link + " ".join(w[5:16])]
+    assert {d for d, i in found(texts, ITEMS) if i == 4} == {0, 1, 2, 3}
+
+
+def test_capitals_of_other_alphabets_are_read_both_ways():
+    item = "встреча назначена на вторник утром в новом здании возле большого старого вокзала города"
+    greek = "η συνάντηση έχει οριστεί για την τρίτη το πρωί στο νέο κτίριο κοντά στον σταθμό"
+    latin = "before the beacon hall every brown bear kept her own warm hat near nobody"
+    texts = [item.upper(), greek.upper(), item.capitalize(), latin.upper().replace("B", "В").replace("H", "Н"), latin.replace("beacon", "Вeacon")]
+    assert found(texts, [item, greek, latin]) == {(0, 0), (1, 1), (2, 0), (3, 2), (4, 2)}
