@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanloom.llm import leaks, lookalikes, packing, pii
 from spanloom.sources.tables import table
@@ -25,7 +26,10 @@ def p6_fill(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_mixture(spark: SparkSession, base: str) -> DataFrame:
-    return packing.mixture_report(p6_pack(spark, base))
+    """Equal target shares by source, which are not those of the corpus: queues run dry one after the other."""
+    docs = table(spark, base, "documents")
+    rows = docs.select(F.coalesce("source", F.lit("(none)"))).distinct().limit(packing.MAX_SOURCES + 1).collect()  # pack checks the bound
+    return packing.mixture_report(packing.pack(docs, mixture={r[0]: 1 / len(rows) for r in rows}))
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:

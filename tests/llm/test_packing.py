@@ -59,3 +59,13 @@ def test_mixture_is_kept_in_every_full_window(spark):
 
 def test_empty(spark):
     assert P.pack(docs(spark).limit(0)).count() == 0
+
+
+def test_the_mixture_query_steers_to_shares_that_differ_from_the_corpus(spark):
+    from spanloom.llm.queries import p6_mixture
+
+    rows = p6_mixture(spark, "/root/testdata/sf0.1").collect()
+    first = [r.n_tokens for r in rows if r.window_id == 0]
+    n = len({r.source for r in rows})
+    assert len(first) == n > 1 and all(abs(x - 256 * 2048 / n) <= 2048 for x in first)  # to one item
+    assert len({r.source for r in rows if r.window_id == max(x.window_id for x in rows)}) < n
