@@ -10,8 +10,8 @@ any depth.
 
 Defined cases: a document that is null, empty or not valid JSON has no elements; NaN and Infinity are not JSON; nulls
 and scalars in arrays take a position but are no elements; an array inside an array is no element, its objects are;
-two notations of one element give one row; text nested deeper than the parser can follow is an ordinary string. Rows
-with a null key keep it. Repeated input rows give repeated nodes.
+two notations of one element give one row; documents nested too deeply for the library's recursive parser are read by
+one with a stack of its own. Rows with a null key keep it. Repeated input rows give repeated nodes.
 """
 
 from __future__ import annotations
@@ -39,13 +39,73 @@ _read = json.JSONDecoder(parse_constant=_no_constant, parse_int=lambda s: s, par
 _read_values = json.JSONDecoder(parse_constant=_no_constant).decode
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def _read_deep(text: str, read):
+    """``read`` for text of any depth: containers are built on a stack, scalars and keys are left to ``read``."""
+    scan = json.JSONDecoder(parse_constant=_no_constant, **({} if read is _read_values else {"parse_int": str, "parse_float": str})).raw_decode
+    open_: list[tuple[dict | list, str | None]] = []
+    skip = lambda at: _SPACE.match(text, at).end()
+    at, value, have = skip(0), None, False
+
+    def key(at: int) -> tuple[str, int]:
+        k, at = scan(text, at)
+        at = skip(at)
+        if not isinstance(k, str) or text[at : at + 1] != ":":
+            raise ValueError("key")
+        return k, skip(at + 1)
+
+    while True:
+        if not have:
+            c = text[at : at + 1]
+            if c in ("{", "["):
+                at, box = skip(at + 1), {} if c == "{" else []
+                if text[at : at + 1] == ("}" if c == "{" else "]"):
+                    value, have, at = box, True, at + 1
+                else:
+                    k = None
+                    if c == "{":
+                        k, at = key(at)
+                    open_.append((box, k))
+                continue
+            value, at = scan(text, at)
+            have = True
+        at = skip(at)
+        if not open_:
+            if at != len(text):
+                raise ValueError("text after the document")
+            return value
+        box, k = open_[-1]
+        if isinstance(box, dict):
+            box[k] = value
+        else:
+            box.append(value)
+        c = text[at : at + 1]
+        if c == ",":
+            at, have = skip(at + 1), False
+            if isinstance(box, dict):
+                k, at = key(at)
+                open_[-1] = (box, k)
+        elif c == ("}" if isinstance(box, dict) else "]"):
+            open_.pop()
+            value, at = box, at + 1
+        else:
+            raise ValueError("neither comma nor end")
+
+
 def _container(text: str, read) -> dict | list | None:
     if text[:1] not in _OPENERS:
         return None
     try:
         v = read(text)
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
+    except RecursionError:
+        try:
+            v = _read_deep(text, read)
+        except ValueError:
+            return None
     return v if isinstance(v, (dict, list)) else None
 
 

@@ -84,7 +84,62 @@ _CLOCK = """
     panes AS (SELECT *, coalesce(clock_us >= (period_start + 25200) * 1000000, false) AS late FROM clock)
 """
 
+# Elements are collected from a walk over all values; the parent is then looked for among an element's own prefixes.
+_ELEMENTS_OF = """
+    docs AS (
+        SELECT arrival_seq, 'attributes' AS path, CASE WHEN json_valid(attributes) THEN attributes::JSON END AS v, false AS el FROM spans
+        UNION ALL SELECT arrival_seq, 'resource_attributes', CASE WHEN json_valid(resource_attributes) THEN resource_attributes::JSON END, false FROM spans
+        UNION ALL SELECT arrival_seq, 'events.' || (i - 1), to_json(events[i]), true FROM (SELECT arrival_seq, events, unnest(generate_series(1, len(events))) AS i FROM spans) WHERE events[i] IS NOT NULL
+        UNION ALL SELECT arrival_seq, 'links.' || (i - 1), to_json(links[i]), true FROM (SELECT arrival_seq, links, unnest(generate_series(1, len(links))) AS i FROM spans) WHERE links[i] IS NOT NULL
+    ),
+    walk AS (
+        SELECT arrival_seq, CAST(NULL AS VARCHAR) AS base, CAST(NULL AS VARCHAR) AS key, path, v, el, NULL::JSON AS leaf FROM docs WHERE v IS NOT NULL AND json_type(v) IN ('OBJECT', 'ARRAY')
+        UNION ALL
+        SELECT arrival_seq, base, key, path, v, el, leaf FROM (
+            SELECT w.arrival_seq, w.path AS base, CASE WHEN json_type(w.v) = 'OBJECT' THEN e.key END AS key, w.path || '.' || e.key AS path, e.value AS leaf,
+                   CASE WHEN e.type = 'VARCHAR' THEN CASE WHEN json_valid(e.value ->> '$') THEN (e.value ->> '$')::JSON END ELSE e.value::JSON END AS v,
+                   json_type(w.v) = 'ARRAY' OR regexp_matches(e.key, '\\.[0-9]+$') AS el
+            FROM walk w, json_each(CASE WHEN json_type(w.v) IN ('OBJECT', 'ARRAY') THEN w.v END) e
+        ) {which}
+    ),
+    dotted AS (SELECT DISTINCT arrival_seq, base, string_split(key, '.') AS seg FROM walk WHERE regexp_matches(key, '(^|\\.)[0-9]+\\.')),
+    elements AS (
+        SELECT arrival_seq, path FROM walk WHERE el AND v IS NOT NULL AND json_type(v) = 'OBJECT'
+        UNION SELECT arrival_seq, base || '.' || array_to_string(seg[:n], '.') FROM (SELECT arrival_seq, base, seg, unnest(generate_series(1, len(seg) - 1)) AS n FROM dotted) WHERE regexp_full_match(seg[n], '[0-9]+')
+    ),
+    above AS (
+        SELECT e.arrival_seq, e.path, max(len(u.path)) AS cut FROM (SELECT arrival_seq, path, string_split(path, '.') AS seg, unnest(generate_series(1, len(string_split(path, '.')) - 1)) AS n FROM elements) e
+        JOIN elements u ON u.arrival_seq = e.arrival_seq AND u.path = array_to_string(e.seg[:e.n], '.') GROUP BY 1, 2
+    )"""
+_ELEMENTS = _ELEMENTS_OF.format(which="WHERE regexp_matches(key, '(^|\\.)[0-9]+\\.') OR (v IS NOT NULL AND json_type(v) IN ('OBJECT', 'ARRAY'))")
+_VALUES = _ELEMENTS_OF.format(which="") + """,
+    roots AS (SELECT arrival_seq, path FROM docs WHERE v IS NOT NULL AND json_type(v) IN ('OBJECT', 'ARRAY') UNION SELECT arrival_seq, path FROM elements),
+    leaves AS (
+        SELECT DISTINCT w.arrival_seq, w.path, last(w.leaf) AS leaf FROM walk w LEFT JOIN docs d ON d.arrival_seq = w.arrival_seq AND d.path = w.base
+        WHERE w.base IS NOT NULL AND (w.v IS NULL OR json_type(w.v) NOT IN ('OBJECT', 'ARRAY')) AND NOT (coalesce(d.el, false) AND json_type(w.leaf) = 'NULL') GROUP BY 1, 2
+    ),
+    owned AS (
+        SELECT l.arrival_seq, l.path, any_value(l.leaf) AS leaf, max(len(u.path)) AS cut
+        FROM (SELECT arrival_seq, path, leaf, string_split(path, '.') AS seg, unnest(generate_series(1, len(string_split(path, '.')) - 1)) AS n FROM leaves) l
+        JOIN roots u ON u.arrival_seq = l.arrival_seq AND u.path = array_to_string(l.seg[:l.n], '.') GROUP BY 1, 2
+    ),
+    fields AS (SELECT arrival_seq, path[:cut] AS path, path[cut + 2:] AS field, leaf FROM owned)"""
+
 SQL = {
+    "p1_found": f"""WITH RECURSIVE {_ELEMENTS}
+        SELECT e.arrival_seq, coalesce(e.path[:a.cut], '') AS parent_path, e.path FROM elements e LEFT JOIN above a ON a.arrival_seq = e.arrival_seq AND a.path = e.path""",
+    "p1_tables": f"""WITH RECURSIVE {_VALUES},
+        nodes AS (
+            SELECT r.arrival_seq, r.path, e.path IS NOT NULL AS el, a.cut IS NOT NULL AS has_parent, (SELECT count(*) FROM fields f WHERE f.arrival_seq = r.arrival_seq AND f.path = r.path) AS n_fields
+            FROM roots r LEFT JOIN elements e USING (arrival_seq, path) LEFT JOIN above a USING (arrival_seq, path))
+        SELECT array_to_string(list_transform(string_split(path, '.'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '*' ELSE x END), '.') AS schema_path,
+               count(*) AS n_rows, count(*) FILTER (has_parent) AS n_with_parent, CAST(max(n_fields) AS INTEGER) AS max_fields, CAST(sum(n_fields) AS BIGINT) AS n_values
+        FROM nodes WHERE el OR n_fields > 0 GROUP BY 1""",
+    "p1_tool_calls": f"""WITH RECURSIVE {_VALUES},
+        calls AS (SELECT arrival_seq, path FROM elements WHERE regexp_full_match(path, 'attributes\\.llm\\.output_messages\\.[0-9]+\\.message\\.tool_calls\\.[0-9]+'))
+        SELECT c.arrival_seq, coalesce(c.path[:a.cut], '') AS parent_path, c.path, CAST(string_split(c.path, '.')[-1] AS INTEGER) AS position, i.leaf ->> '$' AS call_id, f.leaf ->> '$' AS function_name
+        FROM calls c LEFT JOIN above a USING (arrival_seq, path) LEFT JOIN fields i ON i.arrival_seq = c.arrival_seq AND i.path = c.path AND i.field = 'tool_call.id'
+        LEFT JOIN fields f ON f.arrival_seq = c.arrival_seq AND f.path = c.path AND f.field = 'tool_call.function.name'""",
     "p2_found": f"""WITH RECURSIVE {_NODES}, {_WALK}
         SELECT t AS trace_id, s AS span_id,
                CASE WHEN up IS NULL THEN cur ELSE list_min(seen[list_position(seen, up):]) END AS root_span_id,
