@@ -247,7 +247,92 @@ _RULES = """WITH k AS (SELECT interaction_id, bool_or(content_kind = 'json') AS
                CASE WHEN r1 AND r2 THEN 'a tool hands data to a model; an agent calls a service' WHEN r1 THEN 'a tool hands data to a model' WHEN r2 THEN 'an agent calls a service' WHEN r3 THEN 'JSON bodies' ELSE '' END AS explanation,
                CASE WHEN r2 THEN 0.8 WHEN r1 THEN 0.9 WHEN r3 THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM g"""
 
+# The order as sorting: a path of sibling numbers gives the rank, and of the ranks on the way to a leg those that none
+# after them exceeds give its place.
+_ORDER = """
+    l AS (
+        SELECT i.trace_id, l.interaction_id AS i, l.leg_type AS k, i.parent_interaction_id AS p, coalesce(epoch_us(l.occurred_at), 4611686018427387904) AS own, l.seq, l.payload_hash FROM interaction_legs l JOIN interactions i ON i.id = l.interaction_id
+        QUALIFY row_number() OVER (PARTITION BY l.interaction_id, l.leg_type ORDER BY l.seq) = 1
+    ),
+    x AS (SELECT trace_id, i, any_value(p) AS p, max(own) FILTER (k = 'response') AS s, bool_or(k = 'response') AS answered FROM l GROUP BY 1, 2),
+    r AS (
+        SELECT x.*, x.s AS rt, false AS bound, CAST(NULL AS BIGINT) AS ps, CAST(NULL AS BIGINT) AS prt FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.trace_id = x.trace_id AND y.i = x.p)
+        UNION ALL
+        SELECT x.*, CASE WHEN r.answered AND NOT (x.s < 4611686018427387904 AND r.s < 4611686018427387904 AND x.s - r.s > 1000000) THEN least(x.s, r.rt) ELSE x.s END, r.answered, r.s, r.rt FROM x JOIN r ON r.trace_id = x.trace_id AND r.i = x.p
+    ),
+    t AS (
+        SELECT l.*, r.s, r.rt, r.bound, r.prt, r.answered AND r.s < 4611686018427387904 AS capped,
+               CASE WHEN l.k = 'response' THEN r.rt ELSE least(CASE WHEN r.bound AND NOT (l.own < 4611686018427387904 AND r.ps < 4611686018427387904 AND l.own - r.ps > 1000000) THEN least(l.own, r.prt) ELSE l.own END,
+                    CASE WHEN r.answered AND r.s < 4611686018427387904 THEN r.rt ELSE 4611686018427387904 END) END AS moved
+        FROM l JOIN r USING (trace_id, i)
+    ),
+    c AS (SELECT *, CASE WHEN k = 'request' AND capped AND own > s AND moved = rt THEN i WHEN bound AND moved = prt THEN p END AS carrier FROM t),
+    n AS (SELECT *, row_number() OVER (PARTITION BY trace_id, carrier IS NULL ORDER BY CASE WHEN carrier IS NULL THEN moved ELSE CAST(i <> carrier AS INTEGER) END, own, seq, i, k) AS n FROM c),
+    g AS (
+        SELECT trace_id, i, k, [n] AS path FROM n WHERE carrier IS NULL
+        UNION ALL SELECT n.trace_id, n.i, n.k, list_append(g.path, n.n) FROM n JOIN g ON g.trace_id = n.trace_id AND g.i = n.carrier AND g.k = 'response'
+    ),
+    ranked AS (SELECT n.*, row_number() OVER (PARTITION BY n.trace_id ORDER BY list_append(path, 4611686018427387904)) AS rank FROM n JOIN g USING (trace_id, i, k)),
+    waits AS (SELECT a.trace_id, a.i, a.k, a.rank, b.i AS wi, b.k AS wk FROM ranked a LEFT JOIN ranked b ON b.trace_id = a.trace_id AND b.k = 'request' AND b.i = CASE a.k WHEN 'response' THEN a.i ELSE a.p END),
+    w AS (
+        SELECT trace_id, i, k, [rank] AS ahead FROM waits WHERE wi IS NULL
+        UNION ALL SELECT a.trace_id, a.i, a.k, list_append(list_filter(w.ahead, lambda v: v > a.rank), a.rank) FROM waits a JOIN w ON w.trace_id = a.trace_id AND w.i = a.wi AND w.k = a.wk
+    ),
+    ordered AS (SELECT trace_id, i AS interaction_id, k AS leg_type, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY ahead) - 1 AS INTEGER) AS position FROM w)"""
+_LINEAGE = _ORDER + """,
+    ends AS (
+        SELECT o.*, l.payload_hash, l.seq, CASE o.leg_type WHEN 'request' THEN a.natural_key ELSE b.natural_key END AS producer, CASE o.leg_type WHEN 'request' THEN b.natural_key ELSE a.natural_key END AS consumer,
+               CASE o.leg_type WHEN 'request' THEN a.kind ELSE b.kind END AS kind, CASE o.leg_type WHEN 'request' THEN b.kind ELSE a.kind END AS to_kind
+        FROM ordered o JOIN l ON l.i = o.interaction_id AND l.k = o.leg_type JOIN interactions x ON x.id = o.interaction_id LEFT JOIN entities a ON a.id = x.caller_entity_id LEFT JOIN entities b ON b.id = x.callee_entity_id
+    ),
+    sent AS (SELECT *, position < coalesce(min(position) FILTER (payload_hash IS NULL) OVER (PARTITION BY trace_id), 2000000000) AS live FROM ends),
+    fold AS (
+        SELECT trace_id, -1 AS position, CAST(MAP {} AS MAP(VARCHAR, STRUCT(s VARCHAR[], e VARCHAR[]))) AS held, CAST(NULL AS STRUCT(s VARCHAR[], e VARCHAR[])) AS got FROM (SELECT DISTINCT trace_id FROM sent)
+        UNION ALL
+        SELECT trace_id, position, CASE WHEN live AND consumer IS NOT NULL THEN map_concat(held, MAP {consumer: CASE WHEN to_kind = 'agent' AND held[consumer] IS NOT NULL AND got IS NOT NULL
+                   THEN {'s': list_distinct(list_concat(held[consumer].s, got.s)), 'e': list_distinct(list_concat(held[consumer].e, got.e))} WHEN to_kind = 'agent' AND got IS NULL THEN held[consumer] ELSE got END}) ELSE held END, got
+        FROM (
+            SELECT a.*, f.held, CASE WHEN NOT live OR producer IS NULL THEN NULL WHEN f.held[producer] IS NULL THEN {'s': [producer], 'e': CAST([] AS VARCHAR[])}
+                ELSE {'s': list_distinct(CASE WHEN kind = 'tool' THEN list_append(f.held[producer].s, producer) ELSE f.held[producer].s END), 'e': list_distinct(list_append(f.held[producer].e, producer))} END AS got
+            FROM sent a JOIN fold f ON f.trace_id = a.trace_id AND f.position + 1 = a.position)
+    ),
+    lineage AS (
+        SELECT s.trace_id, interaction_id, leg_type, s.position, producer, consumer, got IS NOT NULL AS delivered, coalesce(list_sort(got.s), []) AS sources, coalesce(list_sort(got.e), []) AS entities,
+               '{' || coalesce(array_to_string(list_transform(list_sort(got.s), lambda v: '"' || v || '": []'), ', '), '') || '}' AS transformations
+        FROM sent s JOIN fold f ON f.trace_id = s.trace_id AND f.position = s.position)"""
+
+
+def _reach_sql(forward: bool) -> str:
+    """A walk's state for each trace, source and seed: hops by entity, edges used, and what still waits."""
+    frm, to, turn = ("producer", "consumer", "position") if forward else ("consumer", "producer", "-position")
+    return f"""WITH RECURSIVE {_LINEAGE},
+        edges AS (SELECT trace_id, unnest(sources) AS source, {frm} AS a, {to} AS b, position, false AS waits FROM lineage WHERE delivered AND producer IS NOT NULL AND consumer IS NOT NULL),
+        pairs AS (SELECT DISTINCT trace_id, source FROM edges),
+        turns AS (
+            SELECT *, row_number() OVER (PARTITION BY trace_id, source ORDER BY {turn}) AS n FROM (
+                SELECT * FROM edges UNION ALL SELECT p.trace_id, p.source, l.{frm}, l.{to}, l.position, true FROM pairs p JOIN lineage l ON l.trace_id = p.trace_id AND NOT l.delivered AND l.producer IS NOT NULL AND l.consumer IS NOT NULL)
+        ),
+        walk AS (
+            SELECT trace_id, source, seed, 0 AS n, MAP {{seed: 0}} AS hops, 0 AS used, CAST([] AS VARCHAR[]) AS front FROM (SELECT DISTINCT trace_id, source, a AS seed FROM edges)
+            UNION ALL
+            SELECT w.trace_id, w.source, w.seed, t.n, CASE WHEN t.waits OR w.hops[t.a] IS NULL OR coalesce(w.hops[t.b], 2000000000) <= w.hops[t.a] + 1 THEN w.hops ELSE map_concat(w.hops, MAP {{t.b: w.hops[t.a] + 1}}) END,
+                   w.used + CASE WHEN t.waits OR w.hops[t.a] IS NULL THEN 0 ELSE 1 END, CASE WHEN t.waits AND w.hops[t.a] IS NOT NULL THEN list_append(w.front, t.b) ELSE w.front END
+            FROM walk w JOIN turns t ON t.trace_id = w.trace_id AND t.source = w.source AND t.n = w.n + 1
+        ),
+        last_ AS (SELECT *, list_distinct(list_filter(front, lambda v: hops[v] IS NULL)) AS open FROM walk QUALIFY row_number() OVER (PARTITION BY trace_id, source, seed ORDER BY n DESC) = 1)
+        SELECT trace_id, seed, source, CASE WHEN cardinality(hops) > 1 THEN 'derived' WHEN len(open) > 0 THEN 'pending' ELSE 'no_adjacent' END AS state, CAST(cardinality(hops) - 1 AS INTEGER) AS n_reached, used AS n_edges, len(open) AS n_frontier,
+               list_max(map_values(hops)) AS max_hops, false AS truncated FROM last_"""
+
+
 SQL = {
+    "causal_order": f"WITH RECURSIVE {_ORDER} SELECT * FROM ordered",
+    "data_lineage": f"WITH RECURSIVE {_LINEAGE} SELECT * FROM lineage",
+    "lineage_status": f"""WITH RECURSIVE {_LINEAGE} SELECT trace_id, CASE WHEN bool_and(delivered) THEN 'complete' ELSE 'partial' END AS status, count(*) FILTER (delivered) AS n_covered, count(*) AS n_legs,
+        min(position) FILTER (NOT delivered) AS stopped_at FROM lineage GROUP BY 1""",
+    "lineage_summary": f"""WITH RECURSIVE {_LINEAGE}, u AS (SELECT trace_id, consumer, unnest(sources) AS source FROM lineage WHERE delivered)
+        SELECT trace_id, source, count(*) AS n_legs, count(DISTINCT consumer) AS n_destinations FROM u GROUP BY 1, 2""",
+    "lineage_reach_forward": _reach_sql(True),
+    "lineage_reach_backward": _reach_sql(False),
     "interaction_legs_summary": """WITH one AS (SELECT * FROM interaction_legs QUALIFY row_number() OVER (PARTITION BY interaction_id, leg_type ORDER BY seq) = 1),
         top AS (SELECT interaction_id, max(seq) AS max_seq FROM interaction_legs GROUP BY 1),
         agg AS (
