@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,19 +24,16 @@ def normal_id(col: Column | str) -> Column:
 
 
 def uuid5(namespace: str):
-    """A vectorised function from names to version 5 uuids; null stays null."""
-    space = uuid.UUID(namespace).bytes
+    """A function from names to version 5 uuids, of built-in functions only; null stays null."""
+    space = F.unhex(F.lit(namespace.replace("-", "")))
 
-    def one(name: str) -> str:
-        digest = bytearray(hashlib.sha1(space + name.encode("utf-8")).digest()[:16])
-        digest[6] = digest[6] & 0x0F | 0x50
-        digest[8] = digest[8] & 0x3F | 0x80
-        return str(uuid.UUID(bytes=bytes(digest)))
+    def make(name: Column | str) -> Column:
+        h = F.sha1(F.concat(space, (F.col(name) if isinstance(name, str) else name).cast("binary")))
+        part = lambda at, n: F.substring(h, at, n)
+        # the version is 5; the two top bits of the variant digit are 10
+        return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab"), part(18, 3)), F.when(h.isNotNull(), part(21, 12)))
 
-    def make(names: pd.Series) -> pd.Series:
-        return names.map(one, na_action="ignore")
-
-    return F.pandas_udf(make, "string")
+    return lambda name: F.when((F.col(name) if isinstance(name, str) else name).isNotNull(), make(name))
 
 
 def canonical_json(value) -> str:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.ids import payload_digest
 from spanloom.operators import classify, interactions, labels, lineage, order, policy
 from spanloom.operators.listing import finalized
 from spanloom.operators.records import fingerprint, latest, shares, top_rules
@@ -148,13 +149,14 @@ def _label_legs(plan: dict[str, DataFrame]) -> DataFrame:
     legs = plan["legs"].withColumnRenamed("anchor_span_id", "interaction_id")
     # the spans give legs no seq; legs of one time are told apart by their ids
     at = order.positions(legs.select("trace_id", "interaction_id", "leg_type", F.unix_micros("occurred_at").alias("at"), F.lit(0).alias("seq")).join(who.select("trace_id", "interaction_id", "parent"), ["trace_id", "interaction_id"]))
-    legs = legs.select("trace_id", "interaction_id", "leg_type", classify.classifiable_text(F.col("body")).alias("text"))
+    legs = legs.select("trace_id", "interaction_id", "leg_type", payload_digest(F.col("body")).alias("payload_hash"), classify.classifiable_text(F.col("body")).alias("text"))
     request = F.col("leg_type") == "request"
     rows = legs.join(at, ["trace_id", "interaction_id", "leg_type"]).join(who, ["trace_id", "interaction_id"]).select(
-        "trace_id", "position", "interaction_id", "leg_type", F.when(request, F.col("caller_key")).otherwise(F.col("callee_key")).alias("producer"),
+        "trace_id", "position", "interaction_id", "leg_type", "parent", "payload_hash", F.when(request, F.col("caller_key")).otherwise(F.col("callee_key")).alias("producer"),
         F.when(request, F.col("callee_key")).otherwise(F.col("caller_key")).alias("consumer"), "text", classify.detect(F.col("text"), place_detector).alias("f"),
     )
-    return rows.withColumn("consumer_kind", F.split_part("consumer", F.lit(":"), F.lit(1))).withColumn(
+    kind = lambda c: F.split_part(c, F.lit(":"), F.lit(1))
+    return rows.withColumns({"producer_kind": kind("producer"), "consumer_kind": kind("consumer")}).withColumn(
         "findings", F.transform("f", lambda x: F.struct(x["tag"].alias("entity_type"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.array(x["tag"]).alias("tags"), F.lit("CONFIDENTIAL").alias("level")))
     ).drop("f")
 
@@ -164,6 +166,11 @@ def label_edges(spark: SparkSession, base: str) -> DataFrame:
     return labels.derive(_label_legs(interactions.plan(table(spark, base, "spans"))))
 
 
+def label_states(spark: SparkSession, base: str) -> DataFrame:
+    """Traces by whether all their bodies were classified, with findings that have no place."""
+    return labels.trace_status(labels.leg_states(_label_legs(interactions.plan(table(spark, base, "spans")))))
+
+
 def label_summary(spark: SparkSession, base: str) -> DataFrame:
     return labels.leg_summary(label_edges(spark, base))
 
@@ -225,7 +232,7 @@ QUERIES = {
     for f in (
         interaction_legs_summary, interaction_feed, entity_activity, trace_entities, ready_prefix, version_tokens, interaction_depths, error_ancestors, failing_forest, recent_legs, causal_order, data_lineage, lineage_status,
         lineage_summary, lineage_reach_forward, lineage_reach_backward, sidecar_interactions, sidecar_legs, sidecar_evidence, sidecar_entities, sidecar_payloads, payload_verdicts, document_findings,
-        documents_redacted, label_edges, label_summary, label_chains, rule_decisions, rule_ranking, enforcement_shares, decision_fingerprints, sidecar_envelopes, unread_legs,
+        documents_redacted, label_edges, label_states, label_summary, label_chains, rule_decisions, rule_ranking, enforcement_shares, decision_fingerprints, sidecar_envelopes, unread_legs,
     )
 }
 
