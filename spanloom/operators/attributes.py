@@ -74,17 +74,13 @@ def with_facts(df: DataFrame, keys: dict[str, str], doc: str = "attributes") ->
     return v.withColumns({name: attribute(F.col("_doc"), key) for name, key in keys.items()}).drop("_doc")
 
 
-def sidecar_spans(spans: DataFrame) -> DataFrame:
-    """Spans with an exchange id: ids in normal form, facts, lower-case role, direction and protocol, and whether the two
-    bodies are there. A span that breaks the contract (unknown role, direction or protocol, or a request whose exchange id
-    isn't its own span id) has ``violation`` set."""
-    ids = spans.withColumns({"trace_id": normal_id("trace_id"), "span_id": normal_id("span_id"), "parent_id": normal_id("parent_id")})
-    v = ids.withColumn("_doc", F.try_parse_json("attributes"))
-    facts = {name: attribute(F.col("_doc"), key) for name, key in SIDECAR_KEYS.items()}
-    rows = v.withColumns(facts).withColumns({
-        "role": F.lower("role"), "direction": F.lower("direction"), "protocol": F.lower("protocol"), "exchange_id": normal_id("exchange_id"),
-        "input_value": attribute(F.col("_doc"), "input.value"), "output_value": attribute(F.col("_doc"), "output.value"),
-    }).drop("_doc").where(F.col("exchange_id").isNotNull())
+def sidecar_spans(rows: DataFrame) -> DataFrame:
+    """Spans with an exchange id, from rows with the facts of ``SIDECAR_KEYS``: ids in normal form, lower-case role, direction
+    and protocol. A span that breaks the contract (unknown role, direction or protocol, or a request whose exchange id isn't
+    its own span id) has ``violation`` set."""
+    rows = rows.withColumns({
+        **{c: normal_id(c) for c in ("trace_id", "span_id", "parent_id", "exchange_id")}, "role": F.lower("role"), "direction": F.lower("direction"), "protocol": F.lower("protocol"),
+    }).where(F.col("exchange_id").isNotNull())
     known = F.col("role").isin("request", "response") & F.col("direction").isin("inbound", "outbound") & F.col("protocol").isin("a2a", "mcp", "inference", "http")
     own = (F.col("role") != "request") | (F.col("exchange_id") == F.col("span_id"))
     return rows.withColumn("violation", ~F.coalesce(known & own, F.lit(False)))
@@ -99,7 +95,7 @@ def exchange_kinds(rows: DataFrame) -> DataFrame:
     """Adds caller_kind, callee_kind, request_kind and response_kind to sidecar spans."""
     method = F.coalesce("mcp_method", F.lit(""))
     lifecycle = (F.col("protocol") == "mcp") & (method.isin(LIFECYCLE_METHODS) | reduce(Column.__or__, [method.startswith(p) for p in LIFECYCLE_PREFIXES]))
-    lifecycle |= (F.col("protocol") == "http") & F.coalesce("url_path", F.lit("")).isin(PLUMBING_PATHS) & F.col("input_value").isNull()
+    lifecycle |= (F.col("protocol") == "http") & F.coalesce("url_path", F.lit("")).isin(PLUMBING_PATHS) & ~F.col("has_input")
     discovery = (F.col("protocol") == "mcp") & method.isin(DISCOVERY_METHODS)
     anonymous = (F.col("direction") == "inbound") & (F.coalesce("principal_sub", F.lit("")) == "")
     return rows.withColumns({
@@ -109,6 +105,11 @@ def exchange_kinds(rows: DataFrame) -> DataFrame:
     })
 
 
+def has_body(key: str, doc: str = "attributes") -> Column:
+    """Whether a document has a body under a key, without reading it out."""
+    return F.coalesce(attribute(F.try_parse_json(F.col(doc)), key).isNotNull(), F.lit(False))
+
+
 def blocked_pattern(name: Column) -> Column:
     """The first pattern that matches the whole span name, else null."""
     return F.coalesce(*[F.when(name.rlike(f"^(?:{p})$"), F.lit(p)) for p in BLOCKED_NAMES])

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.attributes import FRAMEWORK_KEYS, is_agentic_scope, is_transport_scope, with_facts
+from spanloom.functions.text import strip_provider
+from spanloom.operators.attributes import FRAMEWORK_KEYS, is_agentic_scope, is_transport_scope
 from spanloom.operators.hierarchy import nearest_ancestor
-from spanloom.operators.listing import finalized
+from spanloom.operators.listing import finalized, finalized_facts
 from spanloom.store import Workspace
 
 
 def coloured(spans: DataFrame) -> DataFrame:
     """One row per span with its colour: teal for transport, blue for agentic work, white for the rest; and, for blue spans,
     the typed key of the entity behind it."""
-    rows = with_facts(finalized(spans), FRAMEWORK_KEYS)
-    scope = F.col("scope.name")
+    rows = finalized_facts(spans, FRAMEWORK_KEYS, F.col("scope.name").alias("scope_name"))
+    scope = F.col("scope_name")
     kind = F.lower("oi_kind")
     blue = is_agentic_scope(scope) | kind.isNotNull()
     teal = is_transport_scope(scope) & ~blue
-    model = F.regexp_replace("llm_model", "^[^/]*/", "")
+    model = strip_provider(F.col("llm_model"))
     key = F.when(kind == "llm", F.concat(F.lit("llm:"), F.coalesce(model, F.lit("(unknown)")))).when(kind == "tool", F.concat(F.lit("tool:"), F.coalesce("tool_name", "name"))).when(blue, F.concat(F.lit("agent:"), F.coalesce("agent_name", "service_name", F.lit("(unknown)"))))
     return rows.select("trace_id", "span_id", "parent_id", "name", "kind", "service_name", "started_at", "ended_at", "error", "arrival_seq", F.when(blue, "blue").when(teal, "teal").otherwise("white").alias("colour"), key.alias("entity_key"))
 

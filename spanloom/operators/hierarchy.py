@@ -21,7 +21,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import normal_id
@@ -31,29 +31,35 @@ from spanloom.store import Workspace
 SPLIT = 8
 
 
-def _nodes(df: DataFrame, trace: str, span: str, parent: str, order: str) -> DataFrame:
-    rows = df.select(normal_id(trace).alias("t"), normal_id(span).alias("s"), normal_id(parent).alias("p"), F.col(order).alias("o"))
+def _nodes(df: DataFrame, trace: str, span: str, parent: str, order: str, weight: Column | None = None) -> DataFrame:
+    rows = df.select(normal_id(trace).alias("t"), normal_id(span).alias("s"), normal_id(parent).alias("p"), F.col(order).alias("o"), (F.lit(1) if weight is None else weight).cast("long").alias("w"))
     rows = rows.where(F.col("t").isNotNull() & F.col("s").isNotNull())
     first = F.min_by(F.struct("p"), F.struct(F.col("o").isNull(), "o", "p"))
-    return rows.groupBy("t", "s").agg(first.alias("f")).select(
-        "t", "s", F.col("f.p").alias("p"), (F.pmod(F.xxhash64("s", "t"), F.lit(SPLIT)) == 0).alias("split"), F.monotonically_increasing_id().alias("id")
-    )
+    cols = [F.col("f.p").alias("p"), (F.pmod(F.xxhash64("s", "t"), F.lit(SPLIT)) == 0).alias("split"), F.monotonically_increasing_id().alias("id")]
+    if weight is None:
+        return rows.groupBy("t", "s").agg(first.alias("f")).select("t", "s", *cols)
+    return rows.groupBy("t", "s").agg(first.alias("f"), F.max("w").alias("w")).select("t", "s", *cols, F.coalesce("w", F.lit(0)).alias("w"))
+
+
+def _linked(work: Workspace, nodes: DataFrame, *more: str) -> DataFrame:
+    """Nodes with the number of their parent (null: a root) and whether that is a splitter."""
+    up = nodes.select("t", F.col("s").alias("p"), F.col("id").alias("pid"), F.col("split").alias("psplit"))
+    return work.save(nodes.join(up, ["t", "p"], "left").select("id", "t", "s", F.when(F.col("pid").isNotNull(), F.col("p")).alias("p"), "pid", "psplit", "split", *more))[0]
 
 
 OPEN, AT_SPLITTER, AT_ROOT = 0, 1, 2
 
 
 class _States:
-    """Rows (id, ptr, dist, split) kept in one folder per value of ``done``."""
+    """Rows (id, ptr, dist, split, perhaps seg) kept in one folder per value of ``done``."""
 
-    def __init__(self, work: Workspace):
-        self.work, self.parts = work, {OPEN: [], AT_SPLITTER: [], AT_ROOT: []}
+    def __init__(self, work: Workspace, cols: list[str]):
+        self.work, self.cols, self.parts = work, cols, {OPEN: [], AT_SPLITTER: [], AT_ROOT: []}
 
     def save(self, df: DataFrame) -> None:
         """Replaces the open rows by those of ``df`` that are open; adds the others."""
-        cols = ["id", "ptr", "dist", "split"]
-        self.schema = df.select(*cols).schema
-        at = self.work.save_by(df.select(*cols, "done"), "done")
+        self.schema = df.select(*self.cols).schema
+        at = self.work.save_by(df.select(*self.cols, "done"), "done")
         old = self.parts[OPEN]
         self.parts[OPEN] = []
         for code, path in at.items():
@@ -74,14 +80,16 @@ class _States:
 
 
 def _double(work: Workspace, start: DataFrame) -> _States:
-    """Pointer doubling until no open node arrives any more. Every pointer of an open row is the id of a row."""
-    states = _States(work)
+    """Pointer doubling until no open node arrives any more. Every pointer of an open row is the id of a row. A column
+    ``seg``, if there is one, holds the names from below the pointer down to the node, and is put together on the way."""
+    path = "seg" in start.columns
+    states = _States(work, ["id", "ptr", "dist", "split", *(["seg"] if path else [])])
     states.save(start)
     left = states.count()
     while left:
         todo = states.read(OPEN)
-        up = states.read(OPEN, AT_SPLITTER, AT_ROOT).select(F.col("id").alias("ptr"), F.col("ptr").alias("q"), F.col("dist").alias("e"), F.col("done").alias("d"))
-        step = todo.drop("done").join(up, "ptr").select("id", F.col("q").alias("ptr"), (F.col("dist") + F.col("e")).alias("dist"), "split", F.col("d").alias("done"))
+        up = states.read(OPEN, AT_SPLITTER, AT_ROOT).select(F.col("id").alias("ptr"), F.col("ptr").alias("q"), F.col("dist").alias("e"), F.col("done").alias("d"), *([F.col("seg").alias("above")] if path else []))
+        step = todo.drop("done").join(up, "ptr").select("id", F.col("q").alias("ptr"), (F.col("dist") + F.col("e")).alias("dist"), "split", F.col("d").alias("done"), *([F.concat("above", "seg").alias("seg")] if path else []))
         states.save(step)
         work.drop(*states.spent)
         now = states.count()
@@ -120,26 +128,13 @@ def hierarchy(df: DataFrame, trace: str = "trace_id", span: str = "span_id", par
     """One row per span: trace_id, span_id, parent_id (null unless it is a node), root_span_id, depth (-1: on a closed loop,
     -2: below one; both with the smallest span id of the loop as root), ids in normal form."""
     work = Workspace(df.sparkSession, "hierarchy")
-    nodes, _ = work.save(_nodes(df, trace, span, parent, order))
-    up = nodes.select("t", F.col("s").alias("p"), F.col("id").alias("pid"), F.col("split").alias("psplit"))
-    tree, _ = work.save(nodes.join(up, ["t", "p"], "left").select("id", "t", "s", F.when(F.col("pid").isNotNull(), F.col("p")).alias("p"), "pid", "psplit", "split"))
-
+    tree = _linked(work, work.save(_nodes(df, trace, span, parent, order))[0])
     has = F.col("pid").isNotNull()
-    walk = _double(work, tree.select(
-        "id", F.coalesce("pid", "id").alias("ptr"), F.when(has, F.lit(1)).otherwise(0).alias("dist"), "split",
-        F.when(~has, F.lit(AT_ROOT)).when(F.col("psplit"), F.lit(AT_SPLITTER)).otherwise(F.lit(OPEN)).alias("done"),
-    ))
-    everyone = walk.read(OPEN, AT_SPLITTER, AT_ROOT)
-    # an open splitter stands in front of a loop without splitters; it can't be solved on the reduced graph
-    stuck = walk.read(OPEN).select("id")
-    reduced = _double(work, walk.read(AT_SPLITTER, AT_ROOT).where("split").withColumn("done", F.when(F.col("done") == AT_ROOT, F.lit(AT_ROOT)).otherwise(F.lit(OPEN))))
-    solved = reduced.read(AT_ROOT).select(F.col("id").alias("ptr"), F.col("ptr").alias("root"), F.col("dist").alias("above"))
-    at_root = everyone.where(F.col("done") == AT_ROOT).select("id", F.col("ptr").alias("root"), F.col("dist").alias("depth"))
-    expanded, _ = work.save(walk.read(AT_SPLITTER).select("id", "ptr", "dist").join(solved, "ptr", "left").select("id", "root", (F.col("dist") + F.col("above")).alias("depth")))
+    solved, stuck, expanded = _solve(work, tree)
     # roots are the nodes that point at themselves: only they are looked up for their names
     roots = tree.where(~has).select(F.col("id").alias("root"), F.col("s").alias("root_span_id"))
     names = tree.select("id", "t", "s", "p")
-    good = at_root.unionByName(expanded.where(F.col("root").isNotNull())).join(roots, "root").join(names, "id")
+    good = solved.join(roots, "root").join(names, "id")
     out = good.select(F.col("t").alias("trace_id"), F.col("s").alias("span_id"), F.col("p").alias("parent_id"), "root_span_id", "depth")
     lost, _ = work.save(stuck.unionByName(expanded.where(F.col("root").isNull()).select("id")))
     if lost.limit(1).count():
@@ -148,6 +143,25 @@ def hierarchy(df: DataFrame, trace: str = "trace_id", span: str = "span_id", par
     return out
 
 
+def _solve(work: Workspace, tree: DataFrame, paths: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes that have a root (id, root, depth, with ``paths`` also seg: the names below the root down to the node); nodes
+    whose walk to a splitter never ends; and all others, with root null where the splitter has none."""
+    has = F.col("pid").isNotNull()
+    seg = [F.when(has, F.array("s")).otherwise(F.array().cast("array<string>")).alias("seg")] if paths else []
+    also = ["seg"] if paths else []
+    walk = _double(work, tree.select(
+        "id", F.coalesce("pid", "id").alias("ptr"), F.when(has, F.lit(1)).otherwise(0).alias("dist"), "split", *seg,
+        F.when(~has, F.lit(AT_ROOT)).when(F.col("psplit"), F.lit(AT_SPLITTER)).otherwise(F.lit(OPEN)).alias("done"),
+    ))
+    # an open splitter stands in front of a loop without splitters; it can't be solved on the reduced graph
+    stuck = walk.read(OPEN).select("id")
+    reduced = _double(work, walk.read(AT_SPLITTER, AT_ROOT).where("split").withColumn("done", F.when(F.col("done") == AT_ROOT, F.lit(AT_ROOT)).otherwise(F.lit(OPEN))))
+    top = reduced.read(AT_ROOT).select(F.col("id").alias("ptr"), F.col("ptr").alias("root"), F.col("dist").alias("above"), *([F.col("seg").alias("head")] if paths else []))
+    at_root = walk.read(AT_ROOT).select("id", F.col("ptr").alias("root"), F.col("dist").alias("depth"), *also)
+    expanded, _ = work.save(walk.read(AT_SPLITTER).join(top, "ptr", "left").select("id", "root", (F.col("dist") + F.col("above")).alias("depth"), *([F.concat("head", "seg").alias("seg")] if paths else [])))
+    return at_root.unionByName(expanded.where(F.col("root").isNotNull())), stuck, expanded
+
+
 def nearest_ancestor(df: DataFrame, target: str, key: str = "trace_id", node: str = "span_id", parent: str = "parent_id") -> DataFrame:
     """For each row the nearest row strictly above it, within ``key``, for which the boolean column ``target`` holds:
     columns key, node, ancestor (null if there is none; also on a closed loop without targets).
@@ -166,23 +180,17 @@ def nearest_ancestor(df: DataFrame, target: str, key: str = "trace_id", node: st
     return base.join(found.select("id", "ancestor"), "id", "left").select(F.col("t").alias(key), F.col("s").alias(node), "ancestor")
 
 
-def full_paths(tree: DataFrame) -> DataFrame:
-    """``hierarchy``'s rows with depth >= 0, plus ``path`` (array of span ids from the root down to the node).
+def full_paths(df: DataFrame, trace: str = "trace_id", span: str = "span_id", parent: str = "parent_id", order: str = "arrival_seq") -> DataFrame:
+    """The rows of ``hierarchy`` with depth >= 0: trace_id, span_id, root_span_id, depth, and ``path`` (array of span ids from
+    the root down to the node).
 
-    Paths double as pointers do: after k rounds a row knows its last 2**k ancestors. The result holds sum(depth) ids.
-    """
-    work = Workspace(tree.sparkSession, "paths")
-    base, _ = work.save(tree.where("depth >= 0"))
-    state, _ = work.save(base.select("trace_id", "span_id", F.coalesce("parent_id", "span_id").alias("ptr"), F.when(F.col("parent_id").isNull(), F.array().cast("array<string>")).otherwise(F.array("parent_id")).alias("seg")))
-    deepest = base.agg(F.max("depth")).first()[0] or 0
-    reach = 1
-    while reach < deepest:
-        up = state.select("trace_id", F.col("span_id").alias("ptr"), F.col("ptr").alias("q"), F.col("seg").alias("above"))
-        state, _ = work.save(state.join(up, ["trace_id", "ptr"]).select("trace_id", "span_id", F.col("q").alias("ptr"), F.concat("above", "seg").alias("seg")))
-        reach *= 2
-    return base.join(state.select("trace_id", "span_id", "seg"), ["trace_id", "span_id"]).select(
-        "trace_id", "span_id", "root_span_id", "depth", F.concat("seg", F.array("span_id")).alias("path")
-    )
+    Nodes walk to their next splitter with the few names they pass; whole paths are put together for splitters only, and a
+    node's path is its splitter's and its own walk. The result holds sum(depth) ids."""
+    work = Workspace(df.sparkSession, "paths")
+    tree = _linked(work, work.save(_nodes(df, trace, span, parent, order))[0])
+    roots = tree.where(F.col("pid").isNull()).select(F.col("id").alias("root"), F.col("s").alias("root_span_id"))
+    found = _solve(work, tree, paths=True)[0].join(roots, "root").join(tree.select("id", "t", "s"), "id")
+    return found.select(F.col("t").alias("trace_id"), F.col("s").alias("span_id"), "root_span_id", "depth", F.concat(F.array("root_span_id"), "seg").alias("path"))
 
 
 def descendants(paths: DataFrame) -> DataFrame:
@@ -191,7 +199,31 @@ def descendants(paths: DataFrame) -> DataFrame:
     return paths.select("trace_id", "span_id", "depth", up.alias("at", "ancestor")).select("trace_id", "ancestor", "span_id", (F.col("depth") - F.col("at")).alias("distance"))
 
 
-def subtree_sizes(paths: DataFrame) -> DataFrame:
-    """Per span the number of its descendants."""
-    below = descendants(paths).groupBy("trace_id", F.col("ancestor").alias("span_id")).agg(F.count("*").alias("n_descendants"))
-    return paths.select("trace_id", "span_id").join(below, ["trace_id", "span_id"], "left").select("trace_id", "span_id", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
+def subtree_sums(df: DataFrame, weight: Column | None = None, trace: str = "trace_id", span: str = "span_id", parent: str = "parent_id", order: str = "arrival_seq") -> DataFrame:
+    """Per node with a root (trace_id, span_id, total): the sum of ``weight`` (1 by default; a node's greatest counts) over
+    the node and all below it.
+
+    Sums double: after k rounds a node knows the sum over what lies less than 2**k below it, and hands that to the node
+    2**k above; nodes with no such node hand on nothing and walk no further. No pair of nodes is ever made. On and below
+    loops the walk never ends: whoever is left when a round brings no new end is there, and left out."""
+    work = Workspace(df.sparkSession, "sums")
+    tree = _linked(work, work.save(_nodes(df, trace, span, parent, order, F.lit(1) if weight is None else weight))[0], "w")
+    state, old = work.save(tree.select("id", F.col("pid").alias("ptr"), F.col("w").alias("sum")))
+    left = state.where("ptr is not null").count()
+    while left:
+        on = state.where("ptr is not null")
+        up = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("q"))
+        moved = on.join(up, "ptr").select("id", F.col("q").alias("ptr"))
+        got = on.groupBy(F.col("ptr").alias("id")).agg(F.sum("sum").alias("more"))
+        state, path = work.save(state.select("id", "sum").join(got, "id", "left").join(moved, "id", "left").select("id", "ptr", (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum")))
+        work.drop(old)
+        old, now = path, state.where("ptr is not null").count()
+        if now == left:
+            break
+        left = now
+    return state.where("ptr is null").join(tree.select("id", "t", "s"), "id").select(F.col("t").alias("trace_id"), F.col("s").alias("span_id"), F.col("sum").alias("total"))
+
+
+def subtree_sizes(df: DataFrame, **columns: str) -> DataFrame:
+    """Per span with a root the number of its descendants."""
+    return subtree_sums(df, **columns).select("trace_id", "span_id", (F.col("total") - 1).alias("n_descendants"))

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.ids import ENTITY_NAMESPACE, INTERACTION_NAMESPACE, payload_digest, uuid5
+from spanloom.functions.ids import ENTITY_NAMESPACE, INTERACTION_NAMESPACE, normal_id, payload_digest, uuid5
 from spanloom.functions.text import ident_key
-from spanloom.operators.attributes import exchange_kinds, outcome_error, sidecar_spans
-from spanloom.operators.hierarchy import nearest_ancestor
-from spanloom.operators.listing import finalized
+from spanloom.operators.attributes import SIDECAR_KEYS, attribute, exchange_kinds, has_body, outcome_error, sidecar_spans
+from spanloom.operators.hierarchy import nearest_ancestor, subtree_sums
+from spanloom.operators.listing import finalized_facts
 from spanloom.store import Workspace
 from spanloom.vocab import ENTITY_KIND_ORDER, rank
 
@@ -26,8 +26,8 @@ def plan(spans: DataFrame) -> dict[str, DataFrame]:
     which pod answered. Every other span belongs to its nearest anchor.
     """
     work = Workspace(spans.sparkSession, "plan")
-    rows, _ = work.save(finalized(spans))
-    side, _ = work.save(exchange_kinds(sidecar_spans(rows)))
+    rows, _ = work.save(sidecar_rows(spans))
+    side = exchange_kinds(sidecar_spans(rows))
     good = side.where(~F.col("violation"))
     requests = good.where(F.col("role") == "request")
     outbound = requests.where(F.col("direction") == "outbound").select("trace_id", "span_id", F.lit(True).alias("out"))
@@ -43,7 +43,7 @@ def plan(spans: DataFrame) -> dict[str, DataFrame]:
         F.min_by(F.struct(F.col("self_id").alias("echo_id"), F.col("self_namespace").alias("echo_namespace")), F.struct("arrival_seq", "span_id")).alias("e")
     ).select("trace_id", "span_id", "e.*")
     answers = good.where(F.col("role") == "response").groupBy("trace_id", "exchange_id").agg(
-        F.min_by(F.struct(F.col("span_id").alias("response_span"), F.coalesce("ended_at", "started_at").alias("response_at"), F.col("output_value").alias("response_body"), outcome_error(F.col("outcome"), F.col("error")).alias("response_error")), F.struct("arrival_seq", "span_id")).alias("r")
+        F.min_by(F.struct(F.col("span_id").alias("response_span"), F.coalesce("ended_at", "started_at").alias("response_at"), F.col("body_seq").alias("response_seq"), outcome_error(F.col("outcome"), F.col("error")).alias("response_error")), F.struct("arrival_seq", "span_id")).alias("r")
     ).select("trace_id", F.col("exchange_id").alias("span_id"), "r.*")
 
     votes = self_kinds(requests)
@@ -60,14 +60,14 @@ def plan(spans: DataFrame) -> dict[str, DataFrame]:
     full = rows_.select(
         "*", F.concat_ws(":", caller_kind, caller).alias("caller_key"), F.concat_ws(":", callee_kind, callee).alias("callee_key"),
     ).join(near, ["trace_id", "span_id"], "left")
-    full, _ = work.save(full.drop("events", "links", "scope", "resource_attributes", "otlp", "attributes"))
+    full, _ = work.save(full)
 
     interactions = full.select(
         "trace_id", F.col("span_id").alias("anchor_span_id"), F.col("owner").alias("parent_span_id"), "caller_key", "callee_key", "direction", "protocol",
         F.concat(F.col("protocol"), F.lit(" call from "), F.coalesce("self_id", F.lit("(unknown)"))).alias("summary"),
     )
-    ask = full.select("trace_id", F.col("span_id").alias("anchor_span_id"), F.lit("request").alias("leg_type"), F.col("started_at").alias("occurred_at"), F.col("input_value").alias("body"), F.lit(None).cast("boolean").alias("error"), F.col("request_kind").alias("content_kind"))
-    reply = full.where(F.col("response_span").isNotNull()).select("trace_id", F.col("span_id").alias("anchor_span_id"), F.lit("response").alias("leg_type"), F.col("response_at").alias("occurred_at"), F.col("response_body").alias("body"), F.col("response_error").alias("error"), F.col("response_kind").alias("content_kind"))
+    ask = full.select("trace_id", F.col("span_id").alias("anchor_span_id"), F.lit("request").alias("leg_type"), F.col("started_at").alias("occurred_at"), F.col("body_seq"), F.lit(None).cast("boolean").alias("error"), F.col("request_kind").alias("content_kind"))
+    reply = full.where(F.col("response_span").isNotNull()).select("trace_id", F.col("span_id").alias("anchor_span_id"), F.lit("response").alias("leg_type"), F.col("response_at").alias("occurred_at"), F.col("response_seq").alias("body_seq"), F.col("response_error").alias("error"), F.col("response_kind").alias("content_kind"))
     own = full.select("trace_id", "span_id", F.col("span_id").alias("anchor_span_id"), F.lit("anchor").alias("role"), F.lit("request").alias("leg_type"))
     others = near.where(F.col("owner").isNotNull()).join(marks, ["trace_id", "span_id"], "left_anti").join(full.select("trace_id", F.col("span_id").alias("owner"), "response_span"), ["trace_id", "owner"])
     link = others.select("trace_id", "span_id", F.col("owner").alias("anchor_span_id"), F.lit("connector").alias("role"), F.when(F.col("span_id") == F.col("response_span"), "response").alias("leg_type"))
@@ -81,6 +81,22 @@ def plan(spans: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def sidecar_rows(spans: DataFrame) -> DataFrame:
+    """Finalised spans with the facts of exchanges; of the bodies only whether there is one, and the delivery that has it."""
+    return finalized_facts(spans, SIDECAR_KEYS, has_body("input.value").alias("has_input"), F.col("arrival_seq").alias("body_seq"))
+
+
+def with_bodies(legs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Legs of a plan with ``body``: the text is read off the one delivery that a leg names, so bodies move once, and only those
+    of legs."""
+    doc = F.try_parse_json("attributes")
+    texts = spans.select(F.col("arrival_seq").alias("body_seq"), "attributes").select(
+        "body_seq", attribute(doc, "input.value").alias("_ask"), attribute(doc, "output.value").alias("_reply")
+    )
+    body = F.when(F.col("leg_type") == "request", F.col("_ask")).otherwise(F.col("_reply"))
+    return legs.join(texts, "body_seq", "left").withColumn("body", body).drop("_ask", "_reply", "body_seq")
+
+
 def self_kinds(requests: DataFrame) -> DataFrame:
     """What each pod of a trace is: the one kind it serves; an agent if it serves several, or only sends and speaks a2a or mcp."""
     served = F.collect_set(F.when(F.col("direction") == "inbound", F.col("callee_kind")))
@@ -177,26 +193,25 @@ def depths(interactions: DataFrame) -> DataFrame:
     return got.select("trace_id", F.col("span_id").alias("id"), F.col("root_span_id").alias("root_id"), "depth")
 
 
-def error_ancestors(interactions: DataFrame, legs: DataFrame) -> DataFrame:
-    """Per interaction whether it or one below it failed."""
-    from spanloom.operators.hierarchy import full_paths, hierarchy
+TREE = {"trace": "trace_id", "span": "id", "parent": "parent_interaction_id", "order": "_o"}
+
 
-    bad = legs.where("error").select(F.translate("interaction_id", "-", "").alias("span_id")).distinct()
-    paths = full_paths(hierarchy(interactions.withColumn("_o", F.lit(0)), "trace_id", "id", "parent_interaction_id", "_o"))
-    marked = paths.join(bad, "span_id", "left_semi").select("trace_id", F.explode("path").alias("span_id")).groupBy("trace_id", "span_id").agg(F.count("*").alias("n_failed_below"))
-    return paths.select("trace_id", "span_id").join(marked, ["trace_id", "span_id"], "left").select("trace_id", F.col("span_id").alias("id"), F.coalesce("n_failed_below", F.lit(0)).alias("n_failed_below"))
+def error_ancestors(interactions: DataFrame, legs: DataFrame) -> DataFrame:
+    """Per interaction the number of failed ones among it and those below it."""
+    bad = legs.where("error").select(F.col("interaction_id").alias("id"), F.lit(1).alias("_bad")).distinct()
+    rows = interactions.withColumn("_o", F.lit(0)).join(bad, "id", "left")
+    return subtree_sums(rows, F.coalesce("_bad", F.lit(0)), **TREE).select("trace_id", F.col("span_id").alias("id"), F.col("total").alias("n_failed_below"))
 
 
 def matching_forest(interactions: DataFrame, matches: DataFrame) -> DataFrame:
     """The part of each forest that a filter keeps: interactions in ``matches`` (trace_id, id in normal form), all above them
-    and all below them."""
-    from spanloom.operators.hierarchy import full_paths, hierarchy
-
+    (their subtree holds a match) and all below them (a match is their nearest match above). No pairs are made."""
     work = Workspace(interactions.sparkSession, "forest")
-    paths, _ = work.save(full_paths(hierarchy(interactions.withColumn("_o", F.lit(0)), "trace_id", "id", "parent_interaction_id", "_o")).select("trace_id", F.col("span_id").alias("id"), "path"))
-    above = paths.join(matches, ["trace_id", "id"], "left_semi").select("trace_id", F.explode("path").alias("id"))
-    steps = paths.select("trace_id", "id", F.explode("path").alias("step"))
-    below = steps.join(matches.select("trace_id", F.col("id").alias("step")), ["trace_id", "step"], "left_semi").select("trace_id", "id")
+    hit = matches.select("trace_id", "id", F.lit(True).alias("_hit")).distinct()
+    rows = interactions.select(normal_id("trace_id").alias("trace_id"), normal_id("id").alias("id"), normal_id("parent_interaction_id").alias("parent_interaction_id"), F.lit(0).alias("_o"))
+    rows, _ = work.save(rows.join(hit, ["trace_id", "id"], "left"))
+    above = subtree_sums(rows, F.col("_hit").cast("int"), **TREE).where("total > 0").select("trace_id", F.col("span_id").alias("id"))
+    below = nearest_ancestor(rows, "_hit", node="id", parent="parent_interaction_id").where("ancestor is not null").select("trace_id", "id")
     return above.unionByName(below).distinct()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import normal_id
+from spanloom.operators.attributes import with_facts
 
 
 def finalized(df: DataFrame) -> DataFrame:
@@ -24,6 +25,16 @@ def finalized(df: DataFrame) -> DataFrame:
     return rows.select(*[F.col("trace_id"), F.col("span_id")], *[F.col(f"a.{c}").alias(c) for c in fixed], *[F.col(f"b.{c}").alias(c) for c in moving]).select(*df.columns)
 
 
+#: Columns of a span without its documents.
+NARROW = ["trace_id", "span_id", "parent_id", "arrival_seq", "started_at", "ended_at", "observed_at", "name", "kind", "service_name", "error"]
+
+
+def finalized_facts(df: DataFrame, keys: dict[str, str], *more: Column) -> DataFrame:
+    """``finalized`` spans with facts of their attributes but without the documents: each delivery's facts are read where it
+    is scanned, so that the shuffle carries a few short columns and never a body. ``more``: other columns, aliased."""
+    return finalized(with_facts(df, keys).select(*NARROW, *keys, *more))
+
+
 def delivery_outcomes(df: DataFrame) -> DataFrame:
     """What each delivery did: inserted, finalized or duplicate."""
     ids = df.select("arrival_seq", normal_id("trace_id").alias("t"), normal_id("span_id").alias("s"), F.col("ended_at").isNotNull().alias("e"))

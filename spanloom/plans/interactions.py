@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.ids import payload_digest
 from spanloom.operators import classify, interactions, labels, lineage, order, policy
-from spanloom.operators.listing import finalized
+from spanloom.operators.listing import NARROW, finalized
 from spanloom.operators.records import fingerprint, latest, shares, top_rules
 from spanloom.sources.tables import table
 
@@ -112,12 +112,17 @@ def sidecar_entities(spark: SparkSession, base: str) -> DataFrame:
     return interactions.plan(table(spark, base, "spans"))["entities"]
 
 
+def _read_legs(spark: SparkSession, base: str) -> DataFrame:
+    spans = table(spark, base, "spans")
+    return interactions.with_bodies(interactions.plan(spans)["legs"], spans)
+
+
 def sidecar_payloads(spark: SparkSession, base: str) -> DataFrame:
-    return interactions.payloads(interactions.plan(table(spark, base, "spans"))["legs"])
+    return interactions.payloads(_read_legs(spark, base))
 
 
 def _bodies(spark: SparkSession, base: str) -> DataFrame:
-    legs = interactions.plan(table(spark, base, "spans"))["legs"].where("body is not null")
+    legs = _read_legs(spark, base).where("body is not null")
     return legs.select("trace_id", "anchor_span_id", "leg_type", "occurred_at", classify.classifiable_text(F.col("body")).alias("text"))
 
 
@@ -161,14 +166,20 @@ def _label_legs(plan: dict[str, DataFrame]) -> DataFrame:
     ).drop("f")
 
 
+def _legs_with_text(spark: SparkSession, base: str) -> DataFrame:
+    spans = table(spark, base, "spans")
+    plan = interactions.plan(spans)
+    return _label_legs({**plan, "legs": interactions.with_bodies(plan["legs"], spans)})
+
+
 def label_edges(spark: SparkSession, base: str) -> DataFrame:
     """Classified values followed over the legs that the spans tell of; a leg's findings are the places it names."""
-    return labels.derive(_label_legs(interactions.plan(table(spark, base, "spans"))))
+    return labels.derive(_legs_with_text(spark, base))
 
 
 def label_states(spark: SparkSession, base: str) -> DataFrame:
     """Traces by whether all their bodies were classified, with findings that have no place."""
-    return labels.trace_status(labels.leg_states(_label_legs(interactions.plan(table(spark, base, "spans")))))
+    return labels.trace_status(labels.leg_states(_legs_with_text(spark, base)))
 
 
 def label_summary(spark: SparkSession, base: str) -> DataFrame:
@@ -219,12 +230,11 @@ def decision_fingerprints(spark: SparkSession, base: str) -> DataFrame:
 
 def sidecar_envelopes(spark: SparkSession, base: str) -> DataFrame:
     spans = table(spark, base, "spans")
-    return interactions.envelopes(interactions.plan(spans)["evidence"], finalized(spans))
+    return interactions.envelopes(interactions.plan(spans)["evidence"], finalized(spans.select(*NARROW)))
 
 
 def unread_legs(spark: SparkSession, base: str) -> DataFrame:
-    legs = interactions.plan(table(spark, base, "spans"))["legs"]
-    return interactions.unread_bodies(legs).groupBy("leg_type", "content_kind", "unread").agg(F.count("*").alias("n"))
+    return interactions.unread_bodies(_read_legs(spark, base)).groupBy("leg_type", "content_kind", "unread").agg(F.count("*").alias("n"))
 
 
 QUERIES = {

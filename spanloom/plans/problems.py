@@ -31,12 +31,12 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, base: str) -> DataFrame:
-    paths = hierarchy.full_paths(hierarchy.hierarchy(table(spark, base, "spans")))
+    paths = hierarchy.full_paths(table(spark, base, "spans"))
     return paths.select("trace_id", "span_id", "depth", F.concat_ws("/", "path").alias("path"))
 
 
 def p2_subtrees(spark: SparkSession, base: str) -> DataFrame:
-    return hierarchy.subtree_sizes(hierarchy.full_paths(hierarchy.hierarchy(table(spark, base, "spans"))))
+    return hierarchy.subtree_sizes(table(spark, base, "spans"))
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import graphs, identity, listing
 from spanloom.operators.attributes import FRAMEWORK_KEYS, SIDECAR_KEYS, exchange_kinds, sidecar_spans, split_blocked, with_facts
 from spanloom.operators.hierarchy import nearest_ancestor
-from spanloom.operators.interactions import self_kinds
+from spanloom.operators.interactions import self_kinds, sidecar_rows
 from spanloom.sources.tables import table
 
 START, END = "2018-03-06 00:00:00", "2018-03-12 00:00:00"
@@ -97,18 +97,18 @@ def framework_facts(spark: SparkSession, base: str) -> DataFrame:
 
 
 def exchange_kind_counts(spark: SparkSession, base: str) -> DataFrame:
-    rows = exchange_kinds(sidecar_spans(listing.finalized(_spans(spark, base))))
+    rows = exchange_kinds(sidecar_spans(sidecar_rows(_spans(spark, base))))
     return rows.where("role = 'request' and not violation").groupBy("direction", "protocol", "caller_kind", "callee_kind", "request_kind").agg(F.count("*").alias("n"))
 
 
 def pod_kinds(spark: SparkSession, base: str) -> DataFrame:
-    rows = exchange_kinds(sidecar_spans(listing.finalized(_spans(spark, base))))
+    rows = exchange_kinds(sidecar_spans(sidecar_rows(_spans(spark, base))))
     return self_kinds(rows.where("role = 'request' and not violation"))
 
 
 def exchange_pairs(spark: SparkSession, base: str) -> DataFrame:
     """Requests with their response by exchange id."""
-    rows = sidecar_spans(listing.finalized(_spans(spark, base))).where("not violation")
+    rows = sidecar_spans(sidecar_rows(_spans(spark, base))).where("not violation")
     ask = rows.where("role = 'request'").select("trace_id", "exchange_id", "span_id", "direction", "protocol")
     reply = rows.where("role = 'response'").groupBy("trace_id", "exchange_id").agg(F.count("*").alias("n_responses"), F.max("outcome").alias("outcome"))
     return ask.join(reply, ["trace_id", "exchange_id"], "left").groupBy("direction", "protocol", "outcome").agg(F.count("*").alias("n_requests"), F.count("n_responses").alias("n_answered"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import hierarchy
 
@@ -65,10 +66,35 @@ def test_empty_and_all_null(spark):
 
 def test_paths_and_descendants(spark):
     rows = [("t", "a", None, 1, None, None), ("t", "b", "a", 2, None, None), ("t", "c", "b", 3, None, None), ("t", "d", "b", 4, None, None), ("t", "e", "e", 5, None, None)]
-    paths = hierarchy.full_paths(hierarchy.hierarchy(spark.createDataFrame(rows, SCHEMA)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    paths = hierarchy.full_paths(df)
     assert {r.span_id: r.path for r in paths.collect()} == {"a": ["a"], "b": ["a", "b"], "c": ["a", "b", "c"], "d": ["a", "b", "d"]}
     assert {(r.ancestor, r.span_id, r.distance) for r in hierarchy.descendants(paths).collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)}
-    assert {r.span_id: r.n_descendants for r in hierarchy.subtree_sizes(paths).collect()} == {"a": 3, "b": 2, "c": 0, "d": 0}
+    assert {r.span_id: r.n_descendants for r in hierarchy.subtree_sizes(df).collect()} == {"a": 3, "b": 2, "c": 0, "d": 0}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_paths_and_sums_of_random_graphs(spark, seed):
+    r = random.Random(seed)
+    rows = [("t", f"{i:03x}", None if not i else f"{i - 1:03x}" if i < 120 else f"{r.randrange(i + (r.random() < 0.05)):03x}", i, None, r.choice([0, 1, None])) for i in range(300)]
+    rows += [("t", "a0", "a1", 1, None, 1), ("t", "a1", "a0", 2, None, 1), ("t", "a2", "a1", 3, None, 1), ("u", "0", None, 1, None, 1)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {k: v for k, v in brute(rows).items() if v[1] >= 0}
+    parent = {(t, s): (t, p) for t, s, p, *_ in rows}
+    paths = {(x.trace_id, x.span_id): x for x in hierarchy.full_paths(df).collect()}
+    sums = {k: 0 for k in want}
+    for k in want:
+        line, x = [], k
+        while x in parent:
+            line.append(x)
+            x = parent[x]
+        assert paths[k].path == [s for _, s in line[::-1]] and (paths[k].root_span_id, paths[k].depth) == want[k]
+        for x in line:
+            sums[x] += next(w or 0 for t, s, _, _, _, w in rows if (t, s) == k)
+    assert set(paths) == set(want)
+    assert {(x.trace_id, x.span_id): x.total for x in hierarchy.subtree_sums(df, F.col("depth")).collect()} == sums
+    assert hierarchy.subtree_sizes(df.limit(0)).count() == 0 == hierarchy.full_paths(df.limit(0)).count()
 
 
 def test_nearest_ancestor_stops_at_the_first_hit_and_survives_loops(spark):

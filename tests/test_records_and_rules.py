@@ -149,7 +149,7 @@ def test_sidecar_plan(spark):
 
 def test_kinds_and_blocklist(spark):
     rows = [("t", f"{i:x}", None, i, side("request", d, p, f"{i:x}", "m", **m), "s", "CLIENT", True) for i, (d, p, m) in enumerate([("outbound", "mcp", {"mcp.method": "ping"}), ("outbound", "mcp", {"mcp.method": "tools/list"}), ("outbound", "http", {"url.path": "/mcp"}), ("inbound", "http", {}), ("outbound", "inference", {})])]
-    got = [(r.caller_kind, r.callee_kind, r.request_kind) for r in exchange_kinds(sidecar_spans(span(spark, rows))).orderBy("arrival_seq").collect()]
+    got = [(r.caller_kind, r.callee_kind, r.request_kind) for r in exchange_kinds(sidecar_spans(interactions.sidecar_rows(span(spark, rows)))).orderBy("arrival_seq").collect()]
     assert got == [("agent", "tool", "mcp_lifecycle_request"), ("agent", "tool", "tool_discovery_request"), ("agent", "service", "mcp_lifecycle_request"), ("client", "agent", "http_request_body"), ("agent", "llm", "llm_chat_prompt")]
     names = spark.createDataFrame([("GET /healthz/x", None), ("/metrics", None), ("GET /metrics2", None), (None, None), ("otlp_receiver/a", None)], "name string, observed_at timestamp")
     assert [r[0] for r in names.select(blocked_pattern(F.col("name"))).collect()] == ["(GET|POST) /healthz.*", "/metrics", None, None, "otlp_receiver/.*"]
