@@ -7,10 +7,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.ids import payload_digest
+from spanloom.functions.ids import ENTITY_NAMESPACE, INTERACTION_NAMESPACE, payload_digest
 from spanloom.operators import classify, interactions, labels, lineage, order, policy
 from spanloom.operators.listing import NARROW, finalized
 from spanloom.operators.records import fingerprint, latest, shares, top_rules
+from spanloom.plans import traces
 from spanloom.sources.tables import table
 
 
@@ -319,6 +320,50 @@ _LINEAGE = _ORDER + """,
         FROM sent s JOIN fold f ON f.trace_id = s.trace_id AND f.position = s.position)"""
 
 
+_PLAN = traces.SIDECAR_SQL + f""",
+    requests AS (SELECT * FROM kinds WHERE role = 'request'),
+    {traces.near_sql("outer_", "SELECT f.trace_id, f.span_id, f.parent_id, r.span_id IS NOT NULL AS hit FROM final f LEFT JOIN requests r ON r.trace_id = f.trace_id AND r.span_id = f.span_id AND r.direction = 'outbound'")},
+    anchors AS (SELECT r.* FROM requests r LEFT JOIN outer_ o USING (trace_id, span_id) WHERE r.direction = 'outbound' OR o.ancestor IS NULL),
+    {traces.near_sql("owner_", "SELECT f.trace_id, f.span_id, f.parent_id, a.span_id IS NOT NULL AS hit FROM final f LEFT JOIN anchors a USING (trace_id, span_id)")},
+    echo AS (
+        SELECT r.trace_id, n.ancestor AS span_id, r.self_id AS echo_id, r.self_namespace AS echo_namespace FROM requests r JOIN outer_ o USING (trace_id, span_id) JOIN owner_ n USING (trace_id, span_id)
+        WHERE r.direction = 'inbound' AND r.self_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r.trace_id, n.ancestor ORDER BY r.arrival_seq, r.span_id) = 1
+    ),
+    answers AS (
+        SELECT trace_id, exchange_id AS span_id, span_id AS response_span, coalesce(ended_at, started_at) AS response_at, output AS reply, CASE WHEN outcome = 'ok' THEN false WHEN outcome IN ('denied', 'error', 'abandoned') THEN true ELSE error END AS response_error
+        FROM kinds WHERE role = 'response' QUALIFY row_number() OVER (PARTITION BY trace_id, exchange_id ORDER BY arrival_seq, span_id) = 1
+    ),
+    votes AS (
+        SELECT trace_id, pod, CASE WHEN n = 1 THEN one WHEN n > 1 OR chatty THEN 'agent' END AS voted FROM (
+            SELECT trace_id, pod, count(DISTINCT callee_kind) FILTER (direction = 'inbound') AS n, any_value(callee_kind) FILTER (direction = 'inbound') AS one, bool_or(direction = 'outbound' AND protocol IN ('a2a', 'mcp')) AS chatty
+            FROM requests WHERE self_id IS NOT NULL GROUP BY 1, 2)
+    ),
+    ends_ AS (
+        SELECT a.*, e.echo_namespace, w.response_span, w.response_at, w.reply, w.response_error, n.ancestor AS owner, a.direction = 'inbound' AS inb, coalesce(v.voted, CASE WHEN a.direction = 'inbound' THEN a.callee_kind ELSE a.caller_kind END) AS own_kind,
+               CASE WHEN e.span_id IS NULL THEN '' ELSE concat_ws('/', nullif(e.echo_namespace, ''), e.echo_id) END AS far
+        FROM anchors a LEFT JOIN echo e USING (trace_id, span_id) LEFT JOIN answers w USING (trace_id, span_id) LEFT JOIN votes v ON v.trace_id = a.trace_id AND v.pod = a.pod LEFT JOIN owner_ n USING (trace_id, span_id)
+    ),
+    full_ AS (
+        SELECT *, concat_ws(':', CASE WHEN inb THEN caller_kind ELSE own_kind END, CASE WHEN inb AND caller_kind = 'user' THEN sub WHEN inb THEN coalesce(client, '(unknown)') ELSE pod END) AS caller_key,
+               concat_ws(':', CASE WHEN inb AND callee_kind <> 'llm' THEN own_kind ELSE callee_kind END, CASE WHEN callee_kind = 'llm' THEN coalesce(peer, '(unknown)') || '/' || coalesce(model, '(unknown)') WHEN inb THEN pod WHEN far <> '' THEN far ELSE coalesce(peer, '(unknown)') END) AS callee_key
+        FROM ends_
+    ),
+    plan_legs AS (
+        SELECT trace_id, span_id AS anchor_span_id, 'request' AS leg_type, started_at AS occurred_at, CAST(NULL AS BOOLEAN) AS error, request_kind AS content_kind, input AS body FROM full_
+        UNION ALL SELECT trace_id, span_id, 'response', response_at, response_error, response_kind, reply FROM full_ WHERE response_span IS NOT NULL
+    ),
+    evidence AS (
+        SELECT trace_id, span_id, span_id AS anchor_span_id, 'anchor' AS role, 'request' AS leg_type FROM full_
+        UNION ALL SELECT n.trace_id, n.span_id, n.ancestor, 'connector', CASE WHEN n.span_id = f.response_span THEN 'response' END FROM owner_ n JOIN full_ f ON f.trace_id = n.trace_id AND f.span_id = n.ancestor
+        WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE a.trace_id = n.trace_id AND a.span_id = n.span_id)
+    )"""
+
+
+def _uuid5_sql(namespace: str, name: str) -> str:
+    h = f"sha1(unhex('{namespace.replace('-', '')}') || encode({name}))"
+    return f"{h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-' || translate({h}[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || {h}[18:20] || '-' || {h}[21:32]"
+
+
 def _reach_sql(forward: bool) -> str:
     """A walk's state for each trace, source and seed: hops by entity, edges used, and what still waits."""
     frm, to, turn = ("producer", "consumer", "position") if forward else ("consumer", "producer", "-position")
@@ -342,6 +387,17 @@ def _reach_sql(forward: bool) -> str:
 
 
 SQL = {
+    "sidecar_interactions": f"""WITH RECURSIVE {_PLAN}
+        SELECT trace_id, span_id AS anchor_span_id, owner AS parent_span_id, caller_key, callee_key, direction, protocol, protocol || ' call from ' || coalesce(self_id, '(unknown)') AS summary,
+               {_uuid5_sql(INTERACTION_NAMESPACE, "trace_id || '/' || span_id")} AS id, {_uuid5_sql(ENTITY_NAMESPACE, "caller_key")} AS caller_entity_id, {_uuid5_sql(ENTITY_NAMESPACE, "callee_key")} AS callee_entity_id FROM full_""",
+    "sidecar_legs": f"WITH RECURSIVE {_PLAN} SELECT trace_id, anchor_span_id, leg_type, occurred_at, error, content_kind FROM plan_legs",
+    "sidecar_evidence": f"WITH RECURSIVE {_PLAN} SELECT * FROM evidence",
+    "sidecar_entities": f"""WITH RECURSIVE {_PLAN},
+        m AS (SELECT arrival_seq, caller_key AS natural_key, CASE WHEN NOT inb THEN self_namespace END AS namespace FROM full_ UNION ALL SELECT arrival_seq, callee_key, CASE WHEN inb THEN self_namespace ELSE echo_namespace END FROM full_)
+        SELECT natural_key, min(arrival_seq) AS first_seq, arg_max(namespace, arrival_seq) FILTER (namespace IS NOT NULL) AS namespace, count(*) AS n_mentions, split_part(natural_key, ':', 1) AS kind FROM m GROUP BY 1""",
+    "sidecar_envelopes": f"""WITH RECURSIVE {_PLAN} SELECT e.trace_id, anchor_span_id, min(started_at) AS first_at, max(ended_at) AS last_at, bool_or(f.error) AS error, count(*) AS n_spans, count(*) FILTER (role = 'anchor') AS n_anchors
+        FROM evidence e LEFT JOIN final f USING (trace_id, span_id) GROUP BY 1, 2""",
+    "unread_legs": f"""WITH RECURSIVE {_PLAN} SELECT leg_type, content_kind, CASE WHEN body IS NULL THEN 'not captured' WHEN body LIKE '%...[truncated]' THEN 'truncated' END AS unread, count(*) AS n FROM plan_legs GROUP BY 1, 2, 3""",
     "causal_order": f"WITH RECURSIVE {_ORDER} SELECT * FROM ordered",
     "data_lineage": f"WITH RECURSIVE {_LINEAGE} SELECT * FROM lineage",
     "lineage_status": f"""WITH RECURSIVE {_LINEAGE} SELECT trace_id, CASE WHEN bool_and(delivered) THEN 'complete' ELSE 'partial' END AS status, count(*) FILTER (delivered) AS n_covered, count(*) AS n_legs,

@@ -75,6 +75,7 @@ _WALK = """
     ),
     ends AS (SELECT t, s, cur, up, d, seen FROM walk WHERE up IS NULL OR list_contains(seen, up))
 """
+WALK_SQL = _WALK.replace("ends AS", "ends_of_walk AS")
 _CLOCK = """
     clock AS (
         SELECT arrival_seq, epoch_us(started_at) // 3600000000 * 3600 AS period_start,
@@ -112,7 +113,7 @@ _ELEMENTS_OF = """
         JOIN elements u ON u.arrival_seq = e.arrival_seq AND u.path = array_to_string(e.seg[:e.n], '.') GROUP BY 1, 2
     )"""
 _ELEMENTS = _ELEMENTS_OF.format(which="WHERE regexp_matches(key, '(^|\\.)[0-9]+\\.') OR (v IS NOT NULL AND json_type(v) IN ('OBJECT', 'ARRAY'))")
-_VALUES = _ELEMENTS_OF.format(which="") + """,
+VALUES_SQL = _ELEMENTS_OF.format(which="") + """,
     roots AS (SELECT arrival_seq, path FROM docs WHERE v IS NOT NULL AND json_type(v) IN ('OBJECT', 'ARRAY') UNION SELECT arrival_seq, path FROM elements),
     leaves AS (
         SELECT DISTINCT w.arrival_seq, w.path, last(w.leaf) AS leaf FROM walk w LEFT JOIN docs d ON d.arrival_seq = w.arrival_seq AND d.path = w.base
@@ -128,14 +129,14 @@ _VALUES = _ELEMENTS_OF.format(which="") + """,
 SQL = {
     "p1_found": f"""WITH RECURSIVE {_ELEMENTS}
         SELECT e.arrival_seq, coalesce(e.path[:a.cut], '') AS parent_path, e.path FROM elements e LEFT JOIN above a ON a.arrival_seq = e.arrival_seq AND a.path = e.path""",
-    "p1_tables": f"""WITH RECURSIVE {_VALUES},
+    "p1_tables": f"""WITH RECURSIVE {VALUES_SQL},
         nodes AS (
             SELECT r.arrival_seq, r.path, e.path IS NOT NULL AS el, a.cut IS NOT NULL AS has_parent, (SELECT count(*) FROM fields f WHERE f.arrival_seq = r.arrival_seq AND f.path = r.path) AS n_fields
             FROM roots r LEFT JOIN elements e USING (arrival_seq, path) LEFT JOIN above a USING (arrival_seq, path))
         SELECT array_to_string(list_transform(string_split(path, '.'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '*' ELSE x END), '.') AS schema_path,
                count(*) AS n_rows, count(*) FILTER (has_parent) AS n_with_parent, CAST(max(n_fields) AS INTEGER) AS max_fields, CAST(sum(n_fields) AS BIGINT) AS n_values
         FROM nodes WHERE el OR n_fields > 0 GROUP BY 1""",
-    "p1_tool_calls": f"""WITH RECURSIVE {_VALUES},
+    "p1_tool_calls": f"""WITH RECURSIVE {VALUES_SQL},
         calls AS (SELECT arrival_seq, path FROM elements WHERE regexp_full_match(path, 'attributes\\.llm\\.output_messages\\.[0-9]+\\.message\\.tool_calls\\.[0-9]+'))
         SELECT c.arrival_seq, coalesce(c.path[:a.cut], '') AS parent_path, c.path, CAST(string_split(c.path, '.')[-1] AS INTEGER) AS position, i.leaf ->> '$' AS call_id, f.leaf ->> '$' AS function_name
         FROM calls c LEFT JOIN above a USING (arrival_seq, path) LEFT JOIN fields i ON i.arrival_seq = c.arrival_seq AND i.path = c.path AND i.field = 'tool_call.id'

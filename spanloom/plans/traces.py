@@ -9,6 +9,7 @@ from spanloom.operators import graphs, identity, listing
 from spanloom.operators.attributes import FRAMEWORK_KEYS, SIDECAR_KEYS, exchange_kinds, sidecar_spans, split_blocked, with_facts
 from spanloom.operators.hierarchy import nearest_ancestor
 from spanloom.operators.interactions import self_kinds, sidecar_rows
+from spanloom.plans import problems
 from spanloom.sources.tables import table
 
 START, END = "2018-03-06 00:00:00", "2018-03-12 00:00:00"
@@ -214,7 +215,58 @@ _NEAR = """,
     ),
     near AS (SELECT trace_id, span_id, anc AS ancestor FROM up WHERE hit)"""
 
+def near_sql(name: str, marks: str) -> str:
+    """Recursive CTEs for the nearest marked span above each span; ``marks`` gives trace_id, span_id, parent_id, hit."""
+    return f"""{name}marks AS ({marks}),
+    {name}up AS (
+        SELECT m.trace_id, m.span_id, p.span_id AS anc, p.hit, p.parent_id AS nxt, 1 AS d FROM {name}marks m JOIN {name}marks p ON p.trace_id = m.trace_id AND p.span_id = m.parent_id
+        UNION ALL
+        SELECT u.trace_id, u.span_id, p.span_id, p.hit, p.parent_id, u.d + 1 FROM {name}up u JOIN {name}marks p ON p.trace_id = u.trace_id AND p.span_id = u.nxt WHERE NOT u.hit AND u.d < 400
+    ),
+    {name} AS (SELECT trace_id, span_id, anc AS ancestor FROM {name}up WHERE hit)"""
+
+
+#: CTEs up to ``kinds``: exchange spans that keep the contract, with their facts and kinds.
+SIDECAR_SQL = f"""{FINAL}, {FACTS.format('final')},
+    side AS (
+        SELECT trace_id, span_id, parent_id, arrival_seq, started_at, ended_at, error, lower({_fact('lineage.role')}) AS role, lower({_fact('lineage.direction')}) AS direction, lower({_fact('lineage.protocol')}) AS protocol,
+               {NORMAL.format(_fact('lineage.exchange.id'))} AS exchange_id, {_fact('lineage.self.id')} AS self_id, {_fact('lineage.self.namespace')} AS self_namespace, {_fact('lineage.peer.host')} AS peer, {_fact('lineage.principal.sub')} AS sub,
+               {_fact('lineage.principal.client')} AS client, {_fact('lineage.outcome')} AS outcome, {_fact('inference.model')} AS model, coalesce({_fact('mcp.method')}, '') AS m, coalesce({_fact('url.path')}, '') AS path,
+               {_fact('input.value')} AS input, {_fact('output.value')} AS output
+        FROM facts
+    ),
+    good AS (
+        SELECT *, concat_ws('/', nullif(self_namespace, ''), self_id) AS pod, (protocol = 'mcp' AND (m IN ('initialize', 'ping') OR m LIKE 'notifications/%' OR m LIKE 'logging/%' OR m LIKE '$transport/%')) OR (protocol = 'http' AND path IN ('/mcp', '/sse') AND input IS NULL) AS plumbing,
+               protocol = 'mcp' AND m IN ('tools/list', 'resources/list', 'prompts/list', 'resources/templates/list') AS discovery
+        FROM side WHERE exchange_id IS NOT NULL AND role IN ('request', 'response') AND direction IN ('inbound', 'outbound') AND protocol IN ('a2a', 'mcp', 'inference', 'http') AND (role <> 'request' OR exchange_id = span_id)
+    ),
+    kinds AS (
+        SELECT *, CASE WHEN direction = 'inbound' THEN CASE WHEN coalesce(sub, '') = '' THEN 'client' ELSE 'user' END ELSE 'agent' END AS caller_kind,
+               CASE protocol WHEN 'a2a' THEN 'agent' WHEN 'mcp' THEN 'tool' WHEN 'inference' THEN 'llm' ELSE CASE direction WHEN 'inbound' THEN 'agent' ELSE 'service' END END AS callee_kind,
+               CASE WHEN plumbing THEN 'mcp_lifecycle_request' WHEN discovery THEN 'tool_discovery_request' ELSE CASE protocol WHEN 'a2a' THEN 'agent_request' WHEN 'mcp' THEN 'tool_call_arguments' WHEN 'inference' THEN 'llm_chat_prompt' ELSE 'http_request_body' END END AS request_kind,
+               CASE WHEN plumbing THEN 'mcp_lifecycle_result' WHEN discovery THEN 'tool_discovery_result' ELSE CASE protocol WHEN 'a2a' THEN 'agent_response' WHEN 'mcp' THEN 'tool_call_result' WHEN 'inference' THEN 'llm_completion' ELSE 'http_response_body' END END AS response_kind
+        FROM good
+    )"""
+
 SQL = {
+    "span_components": _COLOURS + """,
+        n AS (SELECT trace_id, span_id, parent_id FROM keyed WHERE NOT teal),
+        tree AS (SELECT a.trace_id AS t, a.span_id AS s, b.span_id AS p FROM n a LEFT JOIN n b ON b.trace_id = a.trace_id AND b.span_id = a.parent_id),""" + problems.WALK_SQL + """
+        SELECT t AS trace_id, s AS span_id, CASE WHEN up IS NULL THEN cur ELSE list_min(seen[list_position(seen, up):]) END AS component, CASE WHEN up IS NULL THEN d WHEN list_position(seen, up) = 1 THEN -1 ELSE -2 END AS depth FROM ends_of_walk""",
+    "model_messages": f"""WITH RECURSIVE {problems.VALUES_SQL},
+        msgs AS (SELECT arrival_seq, path, string_split(path, '.') AS seg FROM elements WHERE regexp_full_match(path, 'attributes\\.llm\\.(input|output)_messages\\.[0-9]+')),
+        calls AS (
+            SELECT arrival_seq, path[:cut] AS message, count(*) AS n FROM elements JOIN above USING (arrival_seq, path)
+            WHERE regexp_full_match(path, 'attributes\\.llm\\.(input|output)_messages\\.[0-9]+\\.message\\.tool_calls\\.[0-9]+') GROUP BY 1, 2)
+        SELECT m.arrival_seq, replace(seg[3], '_messages', '') AS side, CAST(seg[4] AS INTEGER) AS position, r.leaf ->> '$' AS role, c.leaf ->> '$' AS content, coalesce(n, 0) AS n_tool_calls
+        FROM msgs m LEFT JOIN fields r ON r.arrival_seq = m.arrival_seq AND r.path = m.path AND r.field = 'message.role' LEFT JOIN fields c ON c.arrival_seq = m.arrival_seq AND c.path = m.path AND c.field = 'message.content'
+        LEFT JOIN calls k ON k.arrival_seq = m.arrival_seq AND k.message = m.path""",
+    "inferred_tool_calls": f"""WITH RECURSIVE {problems.VALUES_SQL}, {FINAL.replace('ends AS', 'finals AS').replace('JOIN ends', 'JOIN finals').replace('seq, name', 'arrival_seq AS body_seq, seq, name')}, {FACTS.format('final')},
+        asked AS (
+            SELECT f.trace_id, v.leaf ->> '$' AS tool, count(*) AS n_asked FROM elements e JOIN final f ON f.body_seq = e.arrival_seq LEFT JOIN fields v ON v.arrival_seq = e.arrival_seq AND v.path = e.path AND v.field = 'tool_call.function.name'
+            WHERE regexp_full_match(e.path, 'attributes\\.llm\\.output_messages\\.[0-9]+\\.message\\.tool_calls\\.[0-9]+') GROUP BY 1, 2),
+        told AS (SELECT trace_id, coalesce({_fact('tool.name')}, name) AS tool, count(*) AS n_seen FROM facts WHERE lower({_fact('openinference.span.kind')}) = 'tool' GROUP BY 1, 2)
+        SELECT trace_id, tool, n_asked, coalesce(n_seen, 0) AS n_seen FROM asked LEFT JOIN told USING (trace_id, tool) WHERE n_asked > coalesce(n_seen, 0)""",
     "trace_listing": _LISTING.format(after=""),
     "trace_listing_next": _LISTING.format(after="WHERE started_at < TIMESTAMP '2018-03-10 00:00:00' OR (started_at = TIMESTAMP '2018-03-10 00:00:00' AND span_id > '8000000000000000')"),
     "single_trace_root": f"WITH {FINAL} SELECT trace_id, span_id, rank_class FROM cand QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY started_at, span_id) = 1",
