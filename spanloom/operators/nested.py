@@ -42,9 +42,9 @@ _read_values = json.JSONDecoder(parse_constant=_no_constant).decode
 _SPACE = re.compile(r"[ \t\n\r]*")
 
 
-def _read_deep(text: str, read):
-    """``read`` for text of any depth: containers are built on a stack, scalars and keys are left to ``read``."""
-    scan = json.JSONDecoder(parse_constant=_no_constant, **({} if read is _read_values else {"parse_int": str, "parse_float": str})).raw_decode
+def read_deep(text: str, read=None):
+    """Reads JSON of any depth: containers are built on a stack, scalars and keys are left to the library."""
+    scan = json.JSONDecoder(parse_constant=_no_constant, **({"parse_int": str, "parse_float": str} if read is _read else {})).raw_decode
     open_: list[tuple[dict | list, str | None]] = []
     skip = lambda at: _SPACE.match(text, at).end()
     at, value, have = skip(0), None, False
@@ -103,7 +103,7 @@ def _container(text: str, read) -> dict | list | None:
         return None
     except RecursionError:
         try:
-            v = _read_deep(text, read)
+            v = read_deep(text, read)
         except ValueError:
             return None
     return v if isinstance(v, (dict, list)) else None
