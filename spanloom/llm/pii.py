@@ -15,6 +15,7 @@ of any length are searched whole; repeated rows give repeated results for each r
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from collections.abc import Iterator
@@ -23,12 +24,16 @@ from functools import cache
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.nested import read_deep
+
 TYPES = ("email", "phone", "identity_number", "street_address", "name")
 FIELDS = ("input.value", "output.value")
 WEIGHTS = Path(__file__).with_name("pii_weights.json")
+#: Vocabularies of public tokenizers (lines of base64 token and rank): which words are common ones.
+VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Most people whose names are sent to the tasks as a list.
 MAX_PEOPLE = 2_000_000
 #: Texts per worker whose result is kept, as texts repeat.
@@ -66,18 +71,30 @@ _SHAPES = frozenset(
 _LONGEST = max(map(len, _SHAPES))
 
 
+@cache
+def common_words(paths: tuple[str, ...] = VOCABULARIES) -> frozenset[str]:
+    """Words that a tokenizer's vocabulary writes in small letters, whole, after a blank: at most as many as it has tokens."""
+    out = set()
+    for line in (line for path in paths for line in Path(path).read_bytes().splitlines()):
+        token = base64.b64decode(line.split()[0]).decode("utf-8", "replace")
+        if token[:1] == " " and len(token) > 2 and token[1:].isalpha() and token.islower():
+            out.add(token[1:])
+    return frozenset(out)
+
+
 class People:
-    """Known given and family names, and how such names begin and end."""
+    """Known given and family names, how such names begin and end, and the words that are common ones."""
 
-    def __init__(self, given: list[str], family: list[str]):
+    def __init__(self, given: list[str], family: list[str], common: frozenset[str] = frozenset()):
         self.given = {w for n in given if n for w in n.lower().split()}
         self.family = {w for n in family if n for w in n.lower().split()} - PARTICLES
+        self.common = common
         self.heads = {k: {w[:3] for w in s if len(w) > 4} for k, s in (("g", self.given), ("f", self.family))}
         self.tails = {k: {w[-4:] for w in s if len(w) > 4} for k, s in (("g", self.given), ("f", self.family))}
         self._seen: dict[str, str] = {}
 
     def kind(self, word: str) -> str:
-        """g, f, b: known as given, family name, both; h, k, m: built like one; w: neither."""
+        """g, f, b: known as given, family name, both; h, k, m: built like one; c: a common word; w: none of these."""
         found = self._seen.get(word)
         if found is None:
             if len(self._seen) > 200_000:
@@ -88,11 +105,38 @@ class People:
                 found = "b" if g and f else "g" if g else "f"
             else:
                 g, f = (len(w) > 4 and w[:3] in self.heads[k] and w[-4:] in self.tails[k] for k in "gf")
-                found = "m" if g and f else "h" if g else "k" if f else "w"
+                found = "m" if g and f else "h" if g else "k" if f else "c" if w in self.common or w in CLASS else "w"
             self._seen[word] = found
         return found
 
 
+# Kinds of words that tell what stands beside them (fixed values), in English, German, French and Spanish.
+_CLASSES = {
+    "phone": "tel telephone phone call calls called callback mobile cell fax number reach reachable text ring dial whatsapp sms hotline telefon handy anruf rückruf mobil erreichbar téléphone portable appelez appeler joindre teléfono móvil llame llamar llámeme",
+    "mail": "mail email mailto courriel correo cc bcc inbox login mailbox write forward",
+    "identity": "ssn social security insurance passport identity national nino travel document id card reisepass ausweis ausweisnummer personalausweis passeport identité carte pasaporte dni nie ni license licence",
+    "code": "code serial ticket order invoice batch reference ref checksum part isbn claim flight model key build version release tracking host ip page room line rows row record rechnung bestellung factura pedido commande facture colis tariff digest hash token sku item lot entry index position article voucher",
+    "address": "address lives live living stays stay moved moves ship shipped deliver delivered delivery resident residing adresse anschrift wohnhaft wohnt zog habite demeurant domicilié dirección vive domicilio office visit parcel",
+    "title": "mr mrs ms miss dr prof sir madam herr frau herrn m mme monsieur madame señor señora sr sra dear hello hi hey hola bonjour hallo regards wishes sincerely greetings attn cordially",
+    "person": "name named signed by from for with contact patient customer traveller passenger client caller approved asked confirmed spoke ask interview account nurse clerk manager user kunde kundin client cliente colleague employee tenant sister brother mother father wife husband kin guardian witness doctor applicant member guest author owner witnessed told met thanked says said visited",
+    "group": "team release board hall project works department group inc ltd company gmbh table service system server tool app station office unit bridge river mountain city town park museum school university journal committee council agency bank hotel library desk",
+    "time": "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday am pm hours hour minutes minute seconds ms days percent units eur usd kg km",
+    "link": "and or und et y the a an to of at on in is was has had will still who der die das le la el les los un une ein eine that this your our his her their its as not",
+}
+CLASS = {w: k for k, words in _CLASSES.items() for w in words.split()} | {w: "street" for w in STREET_WORDS if w != "dr"}
+
+
+def word_class(token: str) -> str:
+    """What a word or sign beside a span is, as far as that can bear on it: small words and signs are themselves."""
+    t = token.lower()
+    found = CLASS.get(t)
+    if found:
+        return t if found == "link" else found
+    if not t[0].isalnum():
+        return t
+    return "#" if t[0].isdigit() else "Word" if token[0].isupper() else "word"
+
+
 @dataclass
 class Candidate:
     start: int
@@ -187,7 +231,8 @@ def candidates(text: str, people: People) -> list[Candidate]:
             for m in rx.finditer(text):
                 s = m.group()
                 n = sum(1 for w in s.split() if w[0].isalpha())
-                out.append(Candidate(m.start(), m.end(), ("street_address",), [f"kind={kind}", f"word={m.group('w').lower()}", f"words={n}", f"lower={s.islower()}", f"kw={kind}{n}", *[f"in={w.lower()}" for w in re.findall(r"[^\W\d_]+", s)[:6]]]))
+                caps = "".join("N" if w[0].isupper() else "p" if w in PARTICLES else "n" for w in re.findall(r"[^\W\d_]+", s)[:6])
+                out.append(Candidate(m.start(), m.end(), ("street_address",), [f"kind={kind}", f"word={m.group('w').lower()}", f"words={n}", f"lower={s.islower()}", f"kw={kind}{n}", f"caps={kind}{caps}", f"short={kind}{len(m.group('w')) < 4}{m.group('w')[0].isupper()}"]))
     if _may_name(text, people):
         _names(text, people, out)
     for c in out:
@@ -197,7 +242,7 @@ def candidates(text: str, people: People) -> list[Candidate]:
 
 def _may_name(text: str, people: People) -> bool:
     """Whether ``_names`` could find a candidate; never false where it would."""
-    return bool(_NAME_HINT.search(text)) or any(not w[0].isupper() and people.kind(w) != "w" for w in _WORD.findall(text))
+    return bool(_NAME_HINT.search(text)) or any(not w[0].isupper() and people.kind(w) != "c" for w in _WORD.findall(text))
 
 
 def _names(text: str, people: People, out: list[Candidate]) -> None:
@@ -214,7 +259,7 @@ def _names(text: str, people: People, out: list[Candidate]) -> None:
             elif t in PARTICLES:
                 code.append("p")
             else:
-                code.append("l" if len(t) < 3 or people.kind(t) == "w" else "n")
+                code.append("l" if len(t) < 3 or people.kind(t) == "c" else "n")
         else:
             code.append("x")
     codes = "".join(code)
@@ -230,31 +275,34 @@ def _names(text: str, people: People, out: list[Candidate]) -> None:
             part = tokens[i : i + n]
             if "\n" in text[part[0][0] : part[-1][1]]:
                 break
-            kinds, w = [], []
+            kinds = []
             for (_, _, t), s in zip(part, shape):
-                if s in "Nnl":
-                    k = people.kind(t)
-                    kinds.append(k + ("U" if len(t) > 1 and t.isupper() else s))
-                    if k == "w":
-                        w.append(f"w={t.lower()}")
-                else:
-                    kinds.append(s)
-            known = sum(k[0] in "gfb" for k in kinds)
-            like = sum(k[0] in "hkm" and len(k) > 1 for k in kinds)
-            sound = "".join(("F" if k[0] in "fbkm" else "G" if k[0] in "gh" else "W") if len(k) > 1 else k for k in kinds)
-            out.append(Candidate(part[0][0], part[-1][1], ("name",), [f"pat={'|'.join(kinds)}", f"sound={sound}", f"code={shape}", f"known={known}", f"like={like}", f"out={len(w)}", f"knownout={known}{like}{len(w)}", *w]))
+                kinds.append(people.kind(t) + ("U" if len(t) > 1 and t.isupper() else s) if s in "Nnl" else s)
+            known, like, common, new = (sum(k[0] in of and len(k) > 1 for k in kinds) for of in ("gfb", "hkm", "c", "w"))
+            sound = "".join(("F" if k[0] in "fbkm" else "G" if k[0] in "gh" else "C" if k[0] == "c" else "W") if len(k) > 1 else k for k in kinds)
+            out.append(Candidate(part[0][0], part[-1][1], ("name",), [
+                f"pat={'|'.join(kinds)}", f"sound={sound}", f"code={shape}", f"known={known}", f"like={like}", f"common={common}", f"new={new}", f"mix={known}{like}{common}{new}", f"class={'+'.join(sorted({CLASS[t.lower()] for _, _, t in part if t.lower() in CLASS}))}",
+            ]))
+
+
+#: Words before a span that can bear on it.
+BEFORE = 6
 
 
 def _context(text: str, start: int, end: int) -> list[str]:
-    """The words or signs before and after a span; a number is any number."""
-    before = TOKEN.findall(text, max(0, start - 80), start)[-3:]
-    p3, p2, p1 = ["^"] * (3 - len(before)) + ["#" if t.isdigit() else t.lower() for t in before]
-    after = TOKEN.search(text, end)
-    n1 = after.group().lower() if after else "$"
-    # the nearest words before, as marks often stand between
-    words = [t for t in (p1, p2, p3) if t[0].isalpha()]
+    """What stands before and after a span: the nearest signs and words as classes, the nearest telling words on both sides."""
+    before = TOKEN.findall(text, max(0, start - 80), start)[-BEFORE - 4 :]
+    if "\n" in before:
+        before = before[len(before) - before[::-1].index("\n") :]
+    p2, p1 = (["^", "^"] + [word_class(t) for t in before[-2:]])[-2:]
+    after = [m.group() for m, _ in zip(TOKEN.finditer(text, end), range(BEFORE))]
+    n1, n2 = ([word_class(t) for t in after[:2]] + ["$", "$"])[:2]
+    words = [CLASS.get(t.lower(), "") for t in before if t[0].isalpha()][-BEFORE:][::-1]
+    told = [k for k in words if k and k != "link"]
+    next_told = next((k for t in after if (k := CLASS.get(t.lower())) and k != "link"), "")
     cut = ["cut"] if text.startswith(("..", "…"), end) else []  # the text breaks off here
-    return ["bias", *cut, f"p1={p1}", f"p2={p2}_{p1}", f"n1={'#' if n1.isdigit() else n1}", f"pw={words[0] if words else '^'}", f"pww={'_'.join(words[:2])}"]
+    first = word_class(before[-1]) if before and before[-1][0].isalpha() else words[0] if words else "^"
+    return ["bias", *cut, f"p1={p1}", f"p2={p2}_{p1}", f"n1={n1}", f"n2={n1}_{n2}", f"told={told[0] if told else ''}", f"told2={'_'.join(told[:2])}", f"first={first}", f"next={next_told}", f"side={told[0] if told else ''}|{next_told}"]
 
 
 @cache
@@ -323,11 +371,18 @@ class Finder:
         return "".join(out) + text[at:]
 
 
+def _loads(text: str):
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return read_deep(text)
+
+
 def _inner(text: str):
     if text[:1] in ("{", "[") or text[:1].isspace():
         try:
-            v = json.loads(text)
-        except (ValueError, RecursionError):
+            v = _loads(text)
+        except ValueError:
             return None
         if isinstance(v, (dict, list)):
             return v
@@ -363,26 +418,44 @@ def redact_value(value, finder: Finder):
     return value
 
 
-def _people(principals: DataFrame | None) -> People:
+def _people(principals: DataFrame | None, vocabularies: tuple[str, ...]) -> People:
     if principals is None:
-        return People([], [])
+        return People([], [], common_words(vocabularies))
     rows = principals.select("given_name", "family_name").distinct().limit(MAX_PEOPLE + 1).collect()
     if len(rows) > MAX_PEOPLE:
         raise ValueError(f"more than {MAX_PEOPLE} people; the list of names is sent to every task")
-    return People([r[0] for r in rows], [r[1] for r in rows])
+    return People([r[0] for r in rows], [r[1] for r in rows], common_words(vocabularies))
 
 
 def _attributes(doc: str) -> dict | None:
     try:
-        v = json.loads(doc)
-    except (ValueError, RecursionError):
+        v = _loads(doc)
+    except ValueError:
         return None
     return v if isinstance(v, dict) else None
 
 
-def find(df: DataFrame, principals: DataFrame | None = None, key: str = "arrival_seq", attributes: str = "attributes") -> DataFrame:
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
+
+
+def _redact_document(doc: str, finder: Finder) -> str:
+    top = _attributes(doc)
+    if not top or not any(f in top for f in FIELDS):
+        return doc
+    try:
+        return json.dumps({k: redact_value(v, finder) if k in FIELDS else v for k, v in top.items()}, ensure_ascii=False)
+    except RecursionError:  # deeper than the library can write: every string of the document is redacted where it stands
+        return _STRING.sub(lambda m: json.dumps(finder.redact(json.loads(m.group())), ensure_ascii=False), doc)
+
+
+def _may_hold(doc: Column) -> Column:
+    """Whether a document may have one of the fields: it names one, or writes keys with escapes."""
+    return doc.contains("put.value") | doc.contains("\\u")
+
+
+def find(df: DataFrame, principals: DataFrame | None = None, key: str = "arrival_seq", attributes: str = "attributes", vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
     """One row per entity: key, field, pii_type, occurrence (1 to k for the k entities of a type in a field)."""
-    people = df.sparkSession.sparkContext.broadcast(_people(principals))
+    people = df.sparkSession.sparkContext.broadcast(_people(principals, vocabularies))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(people.value)
@@ -401,30 +474,22 @@ def find(df: DataFrame, principals: DataFrame | None = None, key: str = "arrival
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(fields), pa.array(types), pa.array(numbers, pa.int32())], names=["k", "field", "pii_type", "occurrence"])
 
-    rows = df.where(F.col(attributes).contains("put.value")).select(F.col(key).alias("k"), F.col(attributes).alias("a"))
+    rows = df.where(_may_hold(F.col(attributes))).select(F.col(key).alias("k"), F.col(attributes).alias("a"))
     kind = df.schema[key].dataType.simpleString()
     return rows.mapInArrow(run, f"k {kind}, field string, pii_type string, occurrence int").withColumnRenamed("k", key)
 
 
-def redact(df: DataFrame, principals: DataFrame | None = None, attributes: str = "attributes") -> DataFrame:
+def redact(df: DataFrame, principals: DataFrame | None = None, attributes: str = "attributes", vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
     """``df`` with the texts of both fields redacted in ``attributes``; documents without them pass unchanged."""
-    people = df.sparkSession.sparkContext.broadcast(_people(principals))
+    people = df.sparkSession.sparkContext.broadcast(_people(principals, vocabularies))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         finder = Finder(people.value)
 
-        def one(doc):
-            if doc is None or "put.value" not in doc:
-                return doc
-            top = _attributes(doc)
-            if not top or not any(f in top for f in FIELDS):
-                return doc
-            return json.dumps({k: redact_value(v, finder) if k in FIELDS else v for k, v in top.items()}, ensure_ascii=False)
-
         for docs in batches:
-            yield pd.Series([one(d) for d in docs], dtype=object)
+            yield pd.Series([_redact_document(d, finder) if d and ("put.value" in d or "\\u" in d) else d for d in docs], dtype=object)
 
     from collections.abc import Iterator as It
 

@@ -6,7 +6,7 @@ import pytest
 from spanloom.llm import pii
 from spanloom.llm.pii_train import accuracy, marginals, train
 
-PEOPLE = pii.People(["Kebeus", "Aïda", "Rosria", "Nikaa"], ["Drayetti", "Quilworth", "Fennmont"])
+PEOPLE = pii.People(["Kebeus", "Aïda", "Rosria", "Nikaa"], ["Drayetti", "Quilworth", "Fennmont"], pii.common_words())
 FINDER = pii.Finder(PEOPLE)
 
 
@@ -24,14 +24,42 @@ def test_cases(text, want):
     assert Counter(t for _, _, t in FINDER.entities(text)) == Counter(want)
 
 
-def test_held_out_accuracy():
-    for kind, (precision, recall) in accuracy(pii.weights(), 600, seed=4711).items():
-        assert precision > 0.97 and recall > 0.95, kind
+LEAST = {"email": (0.97, 0.96), "phone": (0.96, 0.96), "identity_number": (0.94, 0.96), "street_address": (0.9, 0.9), "name": (0.88, 0.84)}
+
+
+def test_accuracy_on_frames_and_names_that_were_held_out():
+    for kind, (precision, recall) in accuracy(pii.weights(), 1500, seed=4711).items():
+        assert precision > LEAST[kind][0] and recall > LEAST[kind][1], kind
+
+
+def test_no_frame_is_a_sentence_of_the_tables():
+    """Neither whole nor, for longer frames, in the words between two slots."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    from spanloom.llm.pii_train import FRAMES, PLAIN
+
+    docs = "\n".join(d for d in pq.read_table("/root/testdata/sf0.001/spans.parquet", columns=["attributes"]).column(0).to_pylist() if d).lower()
+    for frame in FRAMES + PLAIN:
+        for part in re.split(r"\{\w+\}", frame):
+            assert len(part.split()) < 4 or part.strip().lower() not in docs, frame
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Yesterday Carlos Mendes dropped the laptop at the front desk.", ["Carlos Mendes"]), ("We hired Annika Lindqvist as the new auditor.", ["Annika Lindqvist"]), ("Please inform Mr Oleg Ivanchuk.", ["Oleg Ivanchuk"]),
+        ("Our lawyer, Emma Thompson, replied.", ["Emma Thompson"]), ("New York is far from Los Angeles.", []), ("Deep Learning beats Random Forest on this set.", []), ("The Supreme Court ruled on Monday.", []), ("Data Governance Board approved Phase Two.", []),
+    ],
+)
+def test_names_of_people_nobody_listed(text, names):
+    assert [text[a:b] for a, b, t in FINDER.entities(text) if t == "name"] == names
 
 
 def test_training_gives_a_working_model():
-    scores = accuracy(train(sentences=1200, epochs=4), 200, seed=5)
-    assert min(min(s) for s in scores.values()) > 0.8
+    scores = accuracy(train(sentences=4000, epochs=4), 400, seed=5)
+    assert min(min(s) for s in scores.values()) > 0.7
 
 
 def test_decoder_finds_the_best_segmentation():
