@@ -61,6 +61,7 @@ ADDRESSES = [
     ("de", re.compile(rf"(?<![\w])[^\W\d_][\w\-]*(?P<w>{'|'.join(STREET_ENDINGS)})\.?\s{_NUMBER}(?!\w){_FLAT}", re.I)),
     ("am", re.compile(rf"(?<!\w)(?P<w>(?i:am|an der|an den|im|in der|zum|zur|auf der|auf dem|unter den|hinter der|hinter dem|beim))\s(?:[A-ZÄÖÜ][\w\-]*\s){{1,3}}{_NUMBER}(?!\w){_FLAT}")),
 ]
+_SHORT = frozenset("st rd ave ln dr ct blvd ter pl sq cres pkwy hwy str".split())  # street words written with a full stop
 _STREET_SET = frozenset(w.strip(".") for w in [*STREET_WORDS, *STREET_PREFIXES, *"am im an in zum zur auf unter hinter beim".split()])
 _STREET_TAILS = tuple(STREET_ENDINGS)
 TOKEN = re.compile(r"[^\W\d_]\.(?=\s|,|$)|[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+|[^\w\s]|_|\n")
@@ -230,9 +231,11 @@ def candidates(text: str, people: People) -> list[Candidate]:
         for kind, rx in ADDRESSES:
             for m in rx.finditer(text):
                 s = m.group()
+                if s[-1] == "." and m.group("w").lower() not in _SHORT:
+                    s = s[:-1]  # the end of the sentence
                 n = sum(1 for w in s.split() if w[0].isalpha())
                 caps = "".join("N" if w[0].isupper() else "p" if w in PARTICLES else "n" for w in re.findall(r"[^\W\d_]+", s)[:6])
-                out.append(Candidate(m.start(), m.end(), ("street_address",), [f"kind={kind}", f"word={m.group('w').lower()}", f"words={n}", f"lower={s.islower()}", f"kw={kind}{n}", f"caps={kind}{caps}", f"short={kind}{len(m.group('w')) < 4}{m.group('w')[0].isupper()}"]))
+                out.append(Candidate(m.start(), m.start() + len(s), ("street_address",), [f"kind={kind}", f"word={m.group('w').lower()}", f"words={n}", f"lower={s.islower()}", f"kw={kind}{n}", f"caps={kind}{caps}", f"short={kind}{len(m.group('w')) < 4}{m.group('w')[0].isupper()}"]))
     if _may_name(text, people):
         _names(text, people, out)
     for c in out:
