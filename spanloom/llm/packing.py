@@ -8,7 +8,8 @@
    the rounds of all items follow from running totals: deficits carry over windows and over partitions exactly, and no
    queue is walked in one place. Running totals have two levels, blocks and rows within a block, so a source with a third
    of all rows is spread like any other.
-3. Rounds become windows of ``WINDOW`` containers' worth of tokens; when a queue is empty the others share its part.
+3. Items in the order of their rounds fill windows of ``WINDOW`` containers' worth of tokens; when a queue is empty the others
+   share its part. The tokens served before an item are running totals in blocks of rounds.
 4. Inside a window, which holds a bounded number of tokens, items go best-fit, longest first, into containers.
 
 Defined cases: null texts are no items; texts of no tokens need no room and are left out; a null source is a queue of its
@@ -37,7 +38,8 @@ CAPACITY = 2048
 WINDOW = 256
 #: Items of one source block whose running total one task computes.
 BLOCK = 1 << 16
-MAX_SOURCES = 10_000
+#: Most blocks of the order of serving.
+MOST_BLOCKS = 10_000
 # The byte-level vocabulary's own pre-tokenisation (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -84,42 +86,50 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, mixture: dict[str, float] | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Rows (container_id, ``key``, part, source, n_tokens). ``mixture`` gives target shares by source; by default each
-    source gets its share of all tokens."""
+def _before(sums: DataFrame, group: str | None, block: str) -> DataFrame:
+    """Adds to each block the sum of the blocks before it (of its group); one row per block."""
+    ahead = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*([group] if group else []), block, F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("before"))
+
+
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, mixture: dict[str, float] | DataFrame | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Rows (container_id, ``key``, part, source, n_tokens). ``mixture`` gives target shares by source, as a mapping or as a
+    table (source, share) of any size; by default each source gets its share of all tokens."""
     work = Workspace(df.sparkSession, "packing")
     counted = count_tokens(df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("src"), F.col(text).alias("text")), "text", ["k", "src"], tokenizer)
     counted, _ = work.save(counted.where("n_tokens > 0").withColumn("src", F.coalesce("src", F.lit("(none)"))))
-    totals = counted.groupBy("src").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
-    if totals.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; a mixture is set over fewer")
-    by = {r.src: (r.t, r.n) for r in totals.collect()}  # at most MAX_SOURCES rows
-    tokens = sum(t for t, _ in by.values())
-    shares = {s: (mixture or {}).get(s, t / max(tokens, 1)) for s, (t, _) in by.items()}
-    blocks = max(1, sum(n for _, n in by.values()) // BLOCK)
-
-    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / capacity).cast("int")))
-    items = counted.select("k", "src", "n_tokens", part.alias("part")).select("k", "src", "part", F.least(F.lit(capacity), F.col("n_tokens") - F.col("part") * capacity).cast("int").alias("size"), F.xxhash64("k").alias("h"))
+    totals = counted.groupBy("src").agg(F.sum("n_tokens").alias("t"))
+    if isinstance(mixture, dict):
+        mixture = df.sparkSession.createDataFrame([(s, float(x)) for s, x in mixture.items()], "source string, share double")
+    shares = totals.withColumn("own", F.col("t") / F.sum("t").over(Window.partitionBy()))  # one row per source
+    if mixture is not None:
+        named = mixture.select(F.coalesce("source", F.lit("(none)")).alias("src"), F.col("share").cast("double").alias("told"))
+        shares = shares.join(named, "src", "left").withColumn("own", F.coalesce("told", "own"))
+    shares = shares.select("src", F.greatest(F.lit(1e-12), "own").alias("share"))
+
+    piece = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / capacity).cast("int")))
+    items = counted.select("k", "src", "n_tokens", piece.alias("part")).select("k", "src", "part", F.least(F.lit(capacity), F.col("n_tokens") - F.col("part") * capacity).cast("int").alias("size"), F.xxhash64("k").alias("h"))
+    blocks = max(1, counted.count() // BLOCK)
     items = items.withColumn("blk", F.pmod("h", F.lit(blocks)))
-    ahead = Window.partitionBy("src").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = items.groupBy("src", "blk").agg(F.sum("size").alias("s")).select("src", "blk", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("before"))
+    before = _before(items.groupBy("src", "blk").agg(F.sum("size").alias("s")), "src", "blk")
     within = Window.partitionBy("src", "blk").orderBy("h", "k", "part", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    queue = items.withColumn("run", F.sum("size").over(within)).join(prefix, ["src", "blk"]).withColumn("total", F.col("run") + F.col("before"))
-
-    # tokens served by all queues up to a round: piecewise linear, with a bend where a queue runs dry
-    names = sorted(by)
-    share = np.array([max(shares[s], 1e-12) for s in names])
-    dry = np.array([by[s][0] for s in names]) / share if names else np.zeros(0)
-    bends = np.unique(np.append(dry, 0.0))
-    served = np.array([np.minimum(dry, r) @ share for r in bends]) if names else np.zeros(1)
-    weight = dict(zip(names, share))
-    size_of_window = WINDOW * capacity
-
-    def window(src: pd.Series, total: pd.Series) -> pd.Series:
-        at = np.interp(total.to_numpy(float) / src.map(weight).to_numpy(float), bends, served)
-        return pd.Series(np.maximum(np.ceil(at / size_of_window - 1e-9) - 1, 0).astype("int64"))
-
-    queue = queue.withColumn("w", F.pandas_udf(window, "long")("src", "total")).select("w", "k", "part", "src", "size", "h")
+    queue = items.withColumn("run", F.sum("size").over(within)).join(before.join(shares, "src"), ["src", "blk"])
+    # the round in which a queue has earned an item's last token
+    queue, _ = work.save(queue.select("k", "part", "src", "size", "h", ((F.col("run") + F.col("before")) / F.col("share")).alias("round")))
+
+    # Items in the order of their rounds, and the tokens served before each: running totals again have two levels, the blocks
+    # being ranges of rounds. Tokens are whole numbers, so windows are exact at any size.
+    n = min(MOST_BLOCKS, queue.count() // BLOCK)
+    cuts = np.array(queue.agg(F.percentile_approx("round", [i / (n + 1) for i in range(1, n + 1)])).first()[0] or []) if n else np.zeros(0)
+
+    def block(rounds: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, rounds.to_numpy(float)).astype("int32"))
+
+    queue = queue.withColumn("blk", F.pandas_udf(block, "int")("round"))
+    before = _before(queue.groupBy("blk").agg(F.sum("size").alias("s")), None, "blk")
+    within = Window.partitionBy("blk").orderBy("round", "h", "k", "part", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    served = queue.withColumn("run", F.sum("size").over(within)).join(before, "blk")
+    queue = served.select(F.floor((F.col("run") + F.col("before") - 1) / (WINDOW * capacity)).cast("long").alias("w"), "k", "part", "src", "size", "h")
     kind = df.schema[key].dataType.simpleString()
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
@@ -141,3 +151,13 @@ def mixture_report(packed: DataFrame) -> DataFrame:
     w = F.shiftright("container_id", 20).alias("window_id")
     cells = packed.groupBy(w, "source").agg(F.sum("n_tokens").alias("n_tokens"))
     return cells.withColumn("share", F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy("window_id")))
+
+
+def deviation_report(packed: DataFrame) -> DataFrame:
+    """Per window, for equal targets: how many sources are still served after it, and the greatest difference between the share
+    of one of these in the window and the share that is due to each of all that are served in it."""
+    cells = mixture_report(packed).where("n_tokens > 0")
+    last = Window.partitionBy("source")
+    rows = cells.withColumn("until", F.max("window_id").over(last)).withColumn("n_sources", F.count("*").over(Window.partitionBy("window_id")))
+    lasting = rows.where(F.col("window_id") < F.col("until"))
+    return lasting.groupBy("window_id").agg(F.count("*").alias("n_lasting"), F.max("n_sources").alias("n_sources"), (F.max("share") - F.min("share")).alias("spread"))

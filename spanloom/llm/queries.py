@@ -27,9 +27,17 @@ def p6_fill(spark: SparkSession, base: str) -> DataFrame:
 
 def p6_mixture(spark: SparkSession, base: str) -> DataFrame:
     """Equal target shares by source, which are not those of the corpus: queues run dry one after the other."""
+    return packing.mixture_report(_equal_shares(spark, base))
+
+
+def _equal_shares(spark: SparkSession, base: str) -> DataFrame:
     docs = table(spark, base, "documents")
-    rows = docs.select(F.coalesce("source", F.lit("(none)"))).distinct().limit(packing.MAX_SOURCES + 1).collect()  # pack checks the bound
-    return packing.mixture_report(packing.pack(docs, mixture={r[0]: 1 / len(rows) for r in rows}))
+    return packing.pack(docs, mixture=docs.select("source").distinct().withColumn("share", F.lit(1.0)))
+
+
+def p6_deviation(spark: SparkSession, base: str) -> DataFrame:
+    """Per window with equal target shares: the queues still running in it and the greatest difference of one of their shares from the target."""
+    return packing.deviation_report(_equal_shares(spark, base))
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
@@ -44,7 +52,7 @@ def p8_forms(spark: SparkSession, base: str) -> DataFrame:
     return lookalikes.add_canonical(table(spark, base, "documents"), "text", "form", ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p6_pack, p6_fill, p6_mixture, p7_found, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p6_pack, p6_fill, p6_mixture, p6_deviation, p7_found, p8_found, p8_forms)}
 
 
 def _form(text: str) -> str:
