@@ -10,8 +10,8 @@ each test string of the bucket is compared with the window word for word. Words
 what has been found is at last compared letter by letter, so hashing can neither add nor lose an occurrence.
 
 All rows of a batch are searched at the same time, long texts as several overlapping lanes. The search strings are a
-fixed, stated set (their size is checked), sent to every task; the corpus is read once and never shuffled except for
-the pairs that are found.
+stated set, sent to every task in sets of a checked size; for each set the corpus is read once, and it is never shuffled
+except for the pairs that are found.
 
 Defined cases: null and empty texts contain nothing; an item shorter than twelve words can't leak; an item that occurs
 several times in a document gives one row; items with equal passages are all reported; null items are skipped.
@@ -40,8 +40,8 @@ ANY_TAG = 120
 LONG_TAG = re.compile(r"</?[a-z][\w:.-]*(?:\s+[\w:@.-]+\s*=\s*(?:\"[^\"\s]*\"|'[^'\s]*'|[^\s\"'<>=]+))*\s*/?>", re.I)
 #: The longest name of a character in HTML has 31 letters.
 LONGEST_ENTITY = 33
-#: Most characters of test items that are sent to the tasks.
-MAX_ITEM_CHARS = 64 << 20
+#: Characters of test items that are sent to the tasks at a time; for more, the corpus is read once per set of items.
+ITEM_CHARS = 64 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -279,12 +279,20 @@ def _find(patterns: Patterns, points: np.ndarray, offsets: np.ndarray) -> Iterat
 def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """Rows (doc, item): the document contains at least twelve consecutive words of the item."""
     chosen = items.where(F.col(text).isNotNull() & F.col(item).isNotNull())
-    size = chosen.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    if size > MAX_ITEM_CHARS:
-        raise ValueError(f"{size} characters of test items; split them into sets of at most {MAX_ITEM_CHARS}")
-    rows = [(r[0], r[1]) for r in chosen.select(item, text).orderBy(item).collect()]
+    size = chosen.agg(F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0))).first()[0]
+    sets = -(-size // ITEM_CHARS) or 1
+    found = [_leaked(docs, chosen.where(F.pmod(F.xxhash64(item, text), F.lit(sets)) == n), doc, item, text) for n in range(sets)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def _leaked(docs: DataFrame, chosen: DataFrame, doc: str, item: str, text: str) -> DataFrame:
+    """The search for one set of items, about ``ITEM_CHARS`` long."""
+    rows = [(r[0], r[1]) for r in chosen.select(item, text).orderBy(item, text).collect()]
     shared = docs.sparkSession.sparkContext.broadcast(Patterns(rows))
-    kinds = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    kinds = docs.schema[doc].dataType.simpleString(), chosen.schema[item].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = shared.value
@@ -294,7 +302,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([patterns.item_ids[w] for w in which])], names=["d", "i"])
 
     got = docs.select(F.col(doc).alias("d"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"d {kinds[0]}, i {kinds[1]}")
-    return got.select(F.col("d").alias(doc), F.col("i").alias(item)).distinct()
+    return got.select(F.col("d").alias(doc), F.col("i").alias(item))
 
 
 def brute_force(texts: list[str | None], items: list[str]) -> set[tuple[int, int]]:

@@ -43,10 +43,17 @@ SAME_SHAPE = {
     "օ": "o", "Օ": "O", "ս": "u", "Ս": "U", "հ": "h", "ո": "n", "ց": "g", "Տ": "S", "Լ": "L", "ք": "p",
     # Cherokee
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V",
-    "Ꮃ": "W", "Ꮓ": "Z",
-    # Latin letters of phonetic alphabets
-    "ɡ": "g",
-}
+    "Ꮃ": "W", "Ꮓ": "Z", "Ꮐ": "G", "Ꮍ": "Y",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲍ": "Z", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H",
+    "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Latin letters of phonetic alphabets, and small capitals shaped like small letters
+    "ɡ": "g", "ɑ": "a", "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ᴜ": "u",
+}
+#: Numerals written as one character look like the letters of their decomposition.
+ROMAN = (0x2160, 0x2180)
 
 # Ranges that show nothing (fixed values: the default-ignorable code points, and controls that are no white space).
 INVISIBLE = [
@@ -77,7 +84,9 @@ class _Tables:
                     continue
                 if form.startswith(("<wide>", "<narrow>")):
                     ch = chr(int(form.split()[1], 16))
-                if unicodedata.category(ch) == "Zs" and cp != 0x1680:
+                elif ROMAN[0] <= cp < ROMAN[1] and form.startswith("<compat>"):
+                    ch = unicodedata.normalize("NFKD", ch)
+                if len(ch) == 1 and unicodedata.category(ch) == "Zs" and cp != 0x1680:
                     out = " "
                 else:
                     out = "".join(SAME_SHAPE.get(c, c) for c in unicodedata.normalize("NFD", ch))
@@ -236,6 +245,21 @@ def add_canonical(df: DataFrame, text: str, out: str, keep: list[str]) -> DataFr
     return got.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], F.col("c").alias(out))
 
 
+#: Classes of one form that meet the others in one part of the join.
+PAIRED_AT_ONCE = 1000
+
+
+def looks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row with a text: ``key``, ``class_id`` (the smallest key with the same form), ``n_exact`` (rows with the very
+    same text, itself included), ``n_links`` (rows that look the same and differ in code points). Linear in the rows."""
+    work = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("raw", F.unhex(F.sha2("t", 256)))
+    rows, _ = Workspace(df.sparkSession, "looks").save(add_canonical(work, "t", "form", ["k", "raw"]).select("k", "raw", F.unhex(F.sha2("form", 256)).alias("form")))
+    exact = rows.groupBy("form", "raw").agg(F.count("*").alias("n_exact"), F.min("k").alias("lo"))
+    forms = exact.groupBy("form").agg(F.sum("n_exact").alias("n"), F.min("lo").alias("class_id"))
+    sized = exact.join(forms, "form").select("raw", "class_id", "n_exact", (F.col("n") - F.col("n_exact")).alias("n_links"))
+    return rows.select("k", "raw").join(sized, "raw").select(F.col("k").alias(key), "class_id", "n_exact", "n_links")
+
+
 def same_looking(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs (``key``_a < ``key``_b) of rows whose texts look the same and differ in code points.
 
@@ -248,7 +272,12 @@ def same_looking(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     members = rows.join(mixed, "form", "left_semi")
     classes = members.select("form", "raw").distinct()
-    pairs = classes.select("form", F.col("raw").alias("ra")).join(classes.select("form", F.col("raw").alias("rb")), "form").where("ra < rb")
+    # a form with many classes is paired in parts, each class of the one side with all of the other
+    parts = classes.groupBy("form").agg(F.ceil(F.count("*") / PAIRED_AT_ONCE).cast("int").alias("parts"))
+    classes = classes.join(parts, "form")
+    left = classes.select("form", F.col("raw").alias("ra"), F.pmod(F.xxhash64("raw"), "parts").cast("int").alias("part"))
+    right = classes.select("form", F.col("raw").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, ["form", "part"]).where("ra < rb")
     a = members.select(F.col("raw").alias("ra"), F.col("k").alias("ka"))
     b = members.select(F.col("raw").alias("rb"), F.col("k").alias("kb"))
     found = pairs.select("ra", "rb").join(a, "ra").join(b, "rb").where(F.col("ka") != F.col("kb"))

@@ -151,13 +151,3 @@ def mixture_report(packed: DataFrame) -> DataFrame:
     w = F.shiftright("container_id", 20).alias("window_id")
     cells = packed.groupBy(w, "source").agg(F.sum("n_tokens").alias("n_tokens"))
     return cells.withColumn("share", F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy("window_id")))
-
-
-def deviation_report(packed: DataFrame) -> DataFrame:
-    """Per window, for equal targets: how many sources are still served after it, and the greatest difference between the share
-    of one of these in the window and the share that is due to each of all that are served in it."""
-    cells = mixture_report(packed).where("n_tokens > 0")
-    last = Window.partitionBy("source")
-    rows = cells.withColumn("until", F.max("window_id").over(last)).withColumn("n_sources", F.count("*").over(Window.partitionBy("window_id")))
-    lasting = rows.where(F.col("window_id") < F.col("until"))
-    return lasting.groupBy("window_id").agg(F.count("*").alias("n_lasting"), F.max("n_sources").alias("n_sources"), (F.max("share") - F.min("share")).alias("spread"))

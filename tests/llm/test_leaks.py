@@ -72,3 +72,11 @@ def test_capitals_of_other_alphabets_are_read_both_ways():
     latin = "before the beacon hall every brown bear kept her own warm hat near nobody"
     texts = [item.upper(), greek.upper(), item.capitalize(), latin.upper().replace("B", "В").replace("H", "Н"), latin.replace("beacon", "Вeacon")]
     assert found(texts, [item, greek, latin]) == {(0, 0), (1, 1), (2, 0), (3, 2), (4, 2)}
+
+
+def test_items_are_searched_in_sets(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + j) % 97}x{i}" for j in range(15)) for i in range(20)]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)] + [(50, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    monkeypatch.setattr(L, "ITEM_CHARS", 300)
+    assert sorted(map(tuple, L.leaked(docs, items).collect())) == [(i, 100 + i) for i in range(20)]

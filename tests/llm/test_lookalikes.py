@@ -21,7 +21,9 @@ def plain(text):
             c = chr(int(form.split()[1], 16))
             if ord(c) in _HIDDEN:
                 continue
-        out.append(" " if unicodedata.category(c) == "Zs" and c != " " else "".join(L.SAME_SHAPE.get(x, x) for x in unicodedata.normalize("NFD", c)))
+        if L.ROMAN[0] <= ord(c) < L.ROMAN[1]:
+            c = unicodedata.normalize("NFKD", c)
+        out.append(" " if len(c) == 1 and unicodedata.category(c) == "Zs" and c != " " else "".join(L.SAME_SHAPE.get(x, x) for x in unicodedata.normalize("NFD", c)))
     return unicodedata.normalize("NFC", "".join(out))
 
 
@@ -56,6 +58,23 @@ def test_pairs(spark):
     assert L.same_looking(df.limit(0)).count() == 0
 
 
+def test_classes_and_many_disguises_of_one_form(spark, monkeypatch):
+    monkeypatch.setattr(L, "PAIRED_AT_ONCE", 3)
+    texts = ["".join(r) for r in __import__("itertools").product("oо", "aа", "eе", "pр")]  # 16 texts of one form
+    rows = [(i, t) for i, t in enumerate(texts + texts[:2])] + [(99, "other"), (100, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and a < 90 and b < 90 and x != y}
+    got = [tuple(r) for r in L.same_looking(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+    classes = {r.doc_id: (r.class_id, r.n_exact, r.n_links) for r in L.looks(df).collect()}
+    assert classes[99] == (99, 1, 0) and classes[0] == (0, 2, 16) == classes[16] and classes[5] == (0, 1, 17) and 100 not in classes
+
+
+@pytest.mark.parametrize(("text", "plain_text"), [("ⲟꓑᴏɑ", "opoa".replace("p", "P")), ("Ⅻ ⅳ Ⅰ", "XII iv I"), ("ꓮꓐꓚ Ⲭ", "ABC X"), ("ꮃ Ꮍ", "ꮃ Y")])
+def test_letters_that_no_table_has(text, plain_text):
+    assert L.canonical(pa.array([text])).to_pylist() == [plain_text]
+
+
 def test_hot_copies_meet_only_the_disguise(spark):
     rows = [(i, "same text é") for i in range(400)] + [(1000, "same text é")]
     got = L.same_looking(spark.createDataFrame(rows, "doc_id long, text string"))

@@ -57,6 +57,25 @@ def test_mixture_is_kept_in_every_full_window(spark):
     assert sum(r.n_tokens for r in got) == 9000 * 301 or sum(r.n_tokens for r in got) >= 9000 * 300
 
 
+def test_targets_hold_in_every_window_until_a_queue_is_dry(spark):
+    rows = [(i, "w " * (50 + i * 31 % 400), "abc"[0 if i % 3 else 1 + i % 2]) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {"a": 0.5, "b": 0.3, "c": 0.2}
+    got = P.mixture_report(P.pack(df, mixture=spark.createDataFrame(list(target.items()), "source string, share double"))).collect()
+    last = {s: max(r.window_id for r in got if r.source == s) for s in target}
+    full = [w for w in {r.window_id for r in got} if w < min(last.values())]
+    assert len(full) >= 2
+    for w in full:
+        share = {r.source: r.n_tokens / (P.WINDOW * P.CAPACITY) for r in got if r.window_id == w}
+        assert all(abs(share[s] - target[s]) < 0.003 for s in target), (w, share)
+
+
+def test_any_number_of_sources(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text"), F.concat(F.lit("s"), F.col("id") % 15_000).alias("source"))
+    got = P.pack(df).agg(F.count("*").alias("n"), F.count_distinct("source").alias("s")).first()
+    assert (got.n, got.s) == (30_000, 15_000)
+
+
 def test_empty(spark):
     assert P.pack(docs(spark).limit(0)).count() == 0
 
