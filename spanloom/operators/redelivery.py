@@ -1,7 +1,7 @@
 """Exactly one copy of every message, by exact quotient hash tables.
 
-An identifier of fixed width (16 + 8 bytes) is run through a permutation of all 192-bit values. The top 16 bits of the
-image are the quotient, which names the shard; the other 176 bits are the remainder, which the shard's table stores
+An identifier of fixed width (16 + 8 bytes) is run through a permutation of all 192-bit values. The top 20 bits of the
+image are the quotient, which names the shard; the other 172 bits are the remainder, which the shard's table stores
 whole. As the map is one-to-one and nothing of the image is thrown away, two identifiers meet in a table exactly when
 they are equal: there are no false matches.
 
@@ -20,12 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import normal_id
 
-QUOTIENT_BITS = 16
+QUOTIENT_BITS = 20
+#: Rows of one merging task, and identifiers after which a task starts a new table at the next shard.
+TASK_ROWS, TABLE_IDS = 2_000_000, 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -162,43 +164,66 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = list(wide)
         import xxhash
 
-        shard = [xxhash.xxh64_intdigest(t) & 0xFFFF for t in texts]
+        shard = [xxhash.xxh64_intdigest(t) & ((1 << QUOTIENT_BITS) - 1) for t in texts]
         yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.nulls(len(texts), pa.binary()), pa.array(texts, pa.string()), pa.array([wide[t] for t in texts], pa.int64())], names=["shard", "image", "wide", "ord"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One set of shards: what was beaten before passes, the rest is inserted."""
-    table, wide = QuotientTable(), {}
+    """Shards in order: what was beaten before passes, the rest is inserted. A table is dropped where a shard ends, once it is
+    large: it never holds more than one shard beyond ``TABLE_IDS``."""
+    table, wide, last = QuotientTable(), {}, None
     for b in batches:
-        order = b.column(3).to_numpy(zero_copy_only=False)
-        regular = b.column(1).is_valid().to_numpy(zero_copy_only=False)
-        texts = b.column(2).to_pylist() if b.column(2).null_count < len(b) else None
-        done = ~regular
-        lost = []
-        if texts:
-            for i, text in enumerate(texts):
-                if text is not None:
-                    done[i] = False
-                    o = int(order[i])
-                    if text in wide:
-                        lost.append(max(o, wide[text]))
-                    wide[text] = min(o, wide.get(text, o))
-        out = np.concatenate([order[done], table.insert(_words(b.column(1).drop_null()), order[regular]), np.array(lost, np.int64)])
-        if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["ord"])
-
-
-def redelivered(df: DataFrame, trace: str = "trace_id", span: str = "span_id", order: str = "arrival_seq") -> DataFrame:
-    """The order values of every row that is not the first of its identifier. One shuffle of at most one row per
-    identifier and input task, and of the order values of the copies."""
+        shards = b.column(0).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(shards[1:] != shards[:-1]) + 1
+        at = 0
+        while at < len(b):
+            if table.size + len(wide) >= TABLE_IDS and shards[at] != last:
+                table, wide = QuotientTable(), {}
+            # as far as the table may grow, up to the end of a shard
+            i = np.searchsorted(ends, at + max(1, TABLE_IDS - table.size - len(wide)))
+            stop = int(ends[i]) if i < len(ends) else len(b)
+            out = _insert(table, wide, b.slice(at, stop - at))
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["ord"])
+            last, at = shards[stop - 1], stop
+
+
+def _insert(table: QuotientTable, wide: dict[str, int], b: pa.RecordBatch) -> np.ndarray:
+    order = b.column(3).to_numpy(zero_copy_only=False)
+    regular = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+    done = ~regular
+    lost = []
+    if b.column(2).null_count < len(b):
+        for i, text in enumerate(b.column(2).to_pylist()):
+            if text is not None:
+                done[i] = False
+                o = int(order[i])
+                if text in wide:
+                    lost.append(max(o, wide[text]))
+                wide[text] = min(o, wide.get(text, o))
+    return np.concatenate([order[done], table.insert(_words(b.column(1).drop_null()), order[regular]), np.array(lost, np.int64)])
+
+
+def identifiers(df: DataFrame, trace: str, span: str, order: Column) -> DataFrame:
+    """Rows (image, wide, ord): the identifier as 24 bytes, or as text where it isn't of that width, and the order value."""
     t, s = normal_id(trace), normal_id(span)
-    ids = df.where(F.col(order).isNotNull()).select(t.alias("t"), s.alias("s"), F.col(order).cast("long").alias("ord"))
+    ids = df.select(t.alias("t"), s.alias("s"), order.cast("long").alias("ord"))
     raw = F.concat(F.unhex("t"), F.unhex("s"))
     fixed = (F.length("t") == 32) & (F.length("s") == 16) & (F.length(raw) == 24) & ~F.col("t").rlike("[^0-9a-f]") & ~F.col("s").rlike("[^0-9a-f]")
     ids = ids.select(F.when(fixed, raw).alias("image"), F.when(~fixed, F.concat_ws("\u0000", F.concat("t", F.lit("\u0001")), "s")).alias("wide"), "ord")
-    ids = ids.withColumn("wide", F.when(F.col("wide").contains("\u0000"), F.col("wide")))  # both ids present
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ids.mapInArrow(_local, _SCHEMA).repartition(parts, "shard").mapInArrow(_merge, "ord long").select(F.col("ord").alias(order))
+    return ids.withColumn("wide", F.when(F.col("wide").contains("\u0000"), F.col("wide")))  # both ids present
+
+
+def redelivered(df: DataFrame, trace: str = "trace_id", span: str = "span_id", order: str = "arrival_seq", known: DataFrame | None = None) -> DataFrame:
+    """The order values of every row that is not the first of its identifier, or whose identifier is among ``known`` (rows of
+    ``identifiers``, with order values below all others). One shuffle of at most one row per identifier and input task, and
+    of the order values of the copies."""
+    ids = identifiers(df.where(F.col(order).isNotNull()), trace, span, F.col(order))
+    rows = df.count()
+    if known is not None:
+        ids, rows = ids.unionByName(known), rows + known.count()
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return ids.mapInArrow(_local, _SCHEMA).repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "ord long").select(F.col("ord").alias(order))
 
 
 def deduplicate(df: DataFrame, trace: str = "trace_id", span: str = "span_id", order: str = "arrival_seq") -> DataFrame:

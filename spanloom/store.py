@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, chosen once."""
+    """The shared folder of this session, chosen once. Where none is set, only a master on this machine may have its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spanloom.local.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spanloom.local.dir", found)
     return found.rstrip("/")

@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spanloom.functions.ids import normal_id
+from spanloom.operators.redelivery import identifiers, redelivered
 from spanloom.schemas import SPAN
-from spanloom.sources.sinks import exists, replace_traces
+from spanloom.sources.sinks import bucketed, exists, replace_traces
+from spanloom.store import Workspace
 
 
 def read_spans(spark: SparkSession, path: str, schema: str = SPAN, files_per_batch: int = 64) -> DataFrame:
@@ -33,49 +36,90 @@ def drain(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def derive_by_trace(source: str, out: str, derive: Callable[[DataFrame], DataFrame], schema: str = SPAN) -> Callable[[DataFrame, int], None]:
-    """A step that derives anew every trace a batch touches, from all its landed spans, and replaces its rows."""
+def derive_by_trace(landed: str, out: str, derive: Callable[[DataFrame], DataFrame], schema: str = SPAN) -> Callable[[DataFrame, int], None]:
+    """A step that lands a batch by bucket of the trace, derives anew every trace the batch touches from all its landed rows,
+    and replaces its rows in ``out``. Only the buckets touched are read; a batch that runs again lands in the same place."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        changed = batch.select("trace_id").distinct()
-        spans = spark.read.schema(schema).parquet(source).join(changed, "trace_id", "left_semi")
-        replace_traces(derive(spans), changed, out)
+        rows = batch.withColumn("_t", normal_id("trace_id")).where(F.col("_t").isNotNull())
+        bucketed(rows, "_t").drop("_t").withColumn("batch", F.lit(number)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(landed)
+        changed = bucketed(rows.select(F.col("_t").alias("trace_id")).distinct())
+        touched = [r[0] for r in changed.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        all_ = spark.read.schema(f"{schema}, bucket int, batch long").parquet(landed).where(F.col("bucket").isin(touched) & (F.col("batch") <= number))
+        spans = all_.withColumn("_t", normal_id("trace_id")).join(changed.select(F.col("trace_id").alias("_t")), "_t", "left_semi").drop("_t", "bucket", "batch")
+        replace_traces(derive(spans), changed.select("trace_id"), out)
 
     return step
 
 
-def once_per_span(stream: DataFrame, watermark: str = "6 hours") -> DataFrame:
-    """First delivery of each span as a stream; state older than the watermark on receipt is dropped."""
-    return stream.withWatermark("observed_at", watermark).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
+def once_step(ids: str, out: str, trace: str = "trace_id", span: str = "span_id", order: str = "arrival_seq") -> Callable[[DataFrame, int], None]:
+    """A step that appends to ``out`` the first row of every identifier and no other, whichever batches its copies come in,
+    however far apart. The identifiers of the batches before go into the quotient tables ahead of the batch; what loses
+    there is a copy. Both tables are kept by batch, so a batch that runs again changes nothing."""
 
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = None
+        if exists(spark, ids):
+            known = spark.read.schema("image binary, wide string, batch long").parquet(ids).where(F.col("batch") < number).select("image", "wide", F.lit(-1).cast("long").alias("ord"))
+        copies = redelivered(batch, trace, span, order, known).where(F.col(order) >= 0)
+        first = batch.join(copies, order, "left_anti").select(*batch.columns)
+        for df, path in ((first, out), (identifiers(first, trace, span, F.col(order)).where("image is not null or wide is not null").drop("ord"), ids)):
+            df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return step
 
-def hourly_counts(stream: DataFrame, lateness: str = "6 hours") -> DataFrame:
-    """Counts per hour of start as a stream, corrected as late spans arrive, closed by the watermark."""
-    return stream.withWatermark("started_at", lateness).groupBy(F.window("started_at", "1 hour")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("period_start"), "n")
 
+PANE_STATE = "pane_start long, n_rows long, n_past_cutoff long, clock_us long, batch long"
 
-def pane_step(path: str, pane_s: int = 3600, lateness_s: int = 6 * 3600) -> Callable[[DataFrame, int], None]:
-    """A step that keeps panes in a table: adds each batch's rows to the panes they belong to, and leaves rows past the
-    cut-off of the stream's arrival clock out. The table has one row per pane and batch, so a repeated batch adds nothing."""
+
+def pane_step(path: str, windows: str | None = None, window_panes: int = 3, pane_s: int = 3600, lateness_s: int = 6 * 3600) -> Callable[[DataFrame, int], None]:
+    """A step that keeps panes: adds each batch's rows to the panes they belong to, leaves rows past the cut-off of the
+    stream's arrival clock out, and appends to ``windows`` every window that covers a changed pane, with its new count.
+
+    The state after each batch is a small table of its own (one row per pane); a batch reads that of the batch before, so one
+    that runs again adds nothing, and older states are removed."""
 
     def step(batch: DataFrame, number: int) -> None:
         from spanloom.operators.slicing import assign_panes
 
         spark = batch.sparkSession
-        stored = spark.read.parquet(path) if exists(spark, path) else None
-        before = stored.where(F.col("batch") < number).agg(F.max("clock_us")).first()[0] if stored is not None else None
+        stored = spark.read.schema(PANE_STATE).parquet(path) if exists(spark, path) else spark.createDataFrame([], PANE_STATE)
+        last = stored.where(F.col("batch") < number).agg(F.max("batch")).first()[0]
+        state = stored.where(F.col("batch") == F.lit(-1 if last is None else last))
+        before = state.agg(F.max("clock_us")).first()[0]
         panes = assign_panes(batch, pane_s=pane_s, lateness_s=lateness_s)
         clock = F.greatest("clock_us", F.lit(before).cast("long"))
         late = F.coalesce(clock >= (F.col("pane_start") + pane_s + lateness_s) * 1_000_000, F.lit(False))
         rows = panes.withColumn("clock_us", clock).groupBy("pane_start").agg(F.count_if(~late).alias("n_rows"), F.count_if(late).alias("n_past_cutoff"), F.max("clock_us").alias("clock_us"))
-        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        work = Workspace(spark, "panes")
+        rows, _ = work.save(rows)
+        both = state.drop("batch").unionByName(rows).groupBy("pane_start").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_past_cutoff").alias("n_past_cutoff"), F.max("clock_us").alias("clock_us"))
+        both, _ = work.save(both)
+        write = lambda df, to: df.withColumn("batch", F.lit(number).cast("long")).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(to)
+        write(both, path)
+        if windows:
+            cover = lambda df, *c: df.select(F.explode(F.sequence(F.col("pane_start") - F.lit((window_panes - 1) * pane_s), F.col("pane_start"), F.lit(pane_s))).alias("window_start"), *c)
+            moved = cover(rows.where("n_rows > 0")).distinct()
+            write(cover(both, "n_rows").join(moved, "window_start", "left_semi").groupBy("window_start").agg(F.sum("n_rows").alias("n_rows")), windows)
+        if last is not None:
+            for old in [r[0] for r in stored.where(F.col("batch") < last).select("batch").distinct().collect()]:  # one at most, but after a crash
+                work.drop(f"{path}/batch={old}")
+        work.drop(work.root)
 
     return step
 
 
 def pane_totals(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("pane_start").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_past_cutoff").alias("n_past_cutoff"))
+    """The panes after the last batch."""
+    state = spark.read.schema(PANE_STATE).parquet(path)
+    return state.join(state.agg(F.max("batch").alias("batch")), "batch").select("pane_start", "n_rows", "n_past_cutoff")
+
+
+def window_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Of each window the count told last, and how often it was told."""
+    return spark.read.schema("window_start long, n_rows long, batch long").parquet(path).groupBy("window_start").agg(F.max_by("n_rows", "batch").alias("n_rows"), F.count("*").alias("version"))
 
 
 def escalation_stream(records: DataFrame, floor_rank: int = 2) -> DataFrame:

@@ -39,5 +39,21 @@ def test_forms_hot_ids_nulls_and_odd_widths(spark):
     assert kept.columns == df.columns and kept.count() == len(rows) - len(got)
 
 
+def test_tables_are_dropped_between_shards(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(R, "TABLE_IDS", 7)
+    r = np.random.default_rng(3)
+    shard = np.sort(r.integers(0, 12, 400)).astype(np.int32)
+    keys = np.stack([shard.astype(np.uint64), r.integers(0, 9, 400).astype(np.uint64), np.zeros(400, np.uint64)], 1)
+    order = r.permutation(400).astype(np.int64)
+    whole = pa.RecordBatch.from_arrays([pa.array(shard), R._bytes(keys), pa.nulls(400, pa.string()), pa.array(order)], names=["shard", "image", "wide", "ord"])
+    got = [o for b in R._merge(iter([whole.slice(0, 150), whole.slice(150, 33), whole.slice(183)])) for o in b.column(0).to_pylist()]
+    best = {}
+    for k, o in zip(map(tuple, keys.tolist()), order.tolist()):
+        best.setdefault(k, []).append(o)
+    assert sorted(got) == sorted(o for v in best.values() for o in sorted(v)[1:])
+
+
 def test_empty(spark):
     assert R.redelivered(spark.createDataFrame([], SCHEMA)).count() == 0
