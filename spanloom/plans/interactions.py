@@ -438,5 +438,11 @@ SQL = {
     "rule_ranking": f"""WITH d AS ({_RULES}), x AS (SELECT i.trace_id, risk_level, unnest(string_split(fired, ',')) AS rule_id FROM d JOIN interactions i USING (id) WHERE fired <> '')
         SELECT rule_id, count(*) AS n_fired, count(DISTINCT trace_id) AS n_traces, count(*) FILTER (risk_level = 'critical') AS n_critical, count(*) FILTER (risk_level = 'high') AS n_high, count(*) FILTER (risk_level = 'medium') AS n_medium,
                count(*) FILTER (risk_level = 'low') AS n_low, count(*) FILTER (risk_level = 'none') AS n_none, CASE rule_id WHEN 'R1' THEN 'high' WHEN 'R2' THEN 'medium' ELSE 'low' END AS rule_level FROM x GROUP BY rule_id""",
+    "decision_fingerprints": f"""WITH d AS ({_RULES}), h AS (SELECT fired, sha256('{{"fired":"' || fired || '","risk_level":"' || risk_level || '","enforcement":"' || enforcement || '","explanation":"' || explanation || '"}}') AS fingerprint FROM d)
+        SELECT fingerprint, count(*) AS n, min(fired) AS fired FROM h GROUP BY 1""",
+    # every sign that is no part of a word is doubled, so that neighbouring matches don't need the same one
+    "document_findings": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g') AS t FROM documents),
+        f AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?:^|[^\p{L}\p{N}_])(?:at|in|to|from|à)  ([A-Z][a-z]{2,})(?:$|[^\p{L}\p{N}_])', 1)) AS place FROM t)
+        SELECT doc_id, 'PLACE' AS tag, count(*) AS n FROM f GROUP BY 1""",
     "enforcement_shares": f"WITH d AS ({_RULES}), n AS (SELECT enforcement, count(*) AS n FROM d WHERE fired <> '' GROUP BY 1) SELECT enforcement, n, round(100.0 * n / sum(n) OVER (), 1)::DOUBLE AS percent FROM n",
 }
