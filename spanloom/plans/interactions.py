@@ -178,6 +178,16 @@ def label_edges(spark: SparkSession, base: str) -> DataFrame:
     return labels.derive(_legs_with_text(spark, base))
 
 
+def label_flows(spark: SparkSession, base: str) -> DataFrame:
+    """The edges of ``label_edges`` whatever the spans: which leg handed which value on to which, and where it first stood."""
+    return label_edges(spark, base).select("trace_id", "from_interaction", "from_leg", "to_interaction", "to_leg", "origin_interaction", "origin_leg", "value").distinct()
+
+
+def label_origins(spark: SparkSession, base: str) -> DataFrame:
+    """How many legs each value reached from where it first stood."""
+    return label_edges(spark, base).groupBy("trace_id", "origin_interaction", "origin_leg", "value").agg(F.count_distinct("to_interaction", "to_leg").alias("n_legs"))
+
+
 def label_states(spark: SparkSession, base: str) -> DataFrame:
     """Traces by whether all their bodies were classified, with findings that have no place."""
     return labels.trace_status(labels.leg_states(_legs_with_text(spark, base)))
@@ -243,7 +253,7 @@ QUERIES = {
     for f in (
         interaction_legs_summary, interaction_feed, entity_activity, trace_entities, ready_prefix, version_tokens, interaction_depths, error_ancestors, failing_forest, recent_legs, causal_order, data_lineage, lineage_status,
         lineage_summary, lineage_reach_forward, lineage_reach_backward, sidecar_interactions, sidecar_legs, sidecar_evidence, sidecar_entities, sidecar_payloads, payload_verdicts, document_findings,
-        documents_redacted, label_edges, label_states, label_summary, label_chains, rule_decisions, rule_ranking, enforcement_shares, decision_fingerprints, sidecar_envelopes, unread_legs,
+        documents_redacted, label_edges, label_flows, label_origins, label_states, label_summary, label_chains, rule_decisions, rule_ranking, enforcement_shares, decision_fingerprints, sidecar_envelopes, unread_legs,
     )
 }
 
@@ -267,16 +277,22 @@ _RULES = """WITH k AS (SELECT interaction_id, bool_or(content_kind = 'json') AS
 
 # The order as sorting: a path of sibling numbers gives the rank, and of the ranks on the way to a leg those that none
 # after them exceeds give its place.
-_ORDER = """
+_LEGS = """
     l AS (
         SELECT i.trace_id, l.interaction_id AS i, l.leg_type AS k, i.parent_interaction_id AS p, coalesce(epoch_us(l.occurred_at), 4611686018427387904) AS own, l.seq, l.payload_hash FROM interaction_legs l JOIN interactions i ON i.id = l.interaction_id
         QUALIFY row_number() OVER (PARTITION BY l.interaction_id, l.leg_type ORDER BY l.seq) = 1
+    )"""
+_ORDER_OF = """,
+    x AS (SELECT trace_id, i, any_value(CASE WHEN p <> i THEN p END) AS p, max(own) FILTER (k = 'response') AS s, bool_or(k = 'response') AS answered FROM l GROUP BY 1, 2),
+    climb AS (
+        SELECT trace_id, i, p AS cur, [i] AS seen FROM x WHERE p IS NOT NULL
+        UNION ALL SELECT c.trace_id, c.i, y.p, list_append(c.seen, y.i) FROM climb c JOIN x y ON y.trace_id = c.trace_id AND y.i = c.cur WHERE NOT list_contains(c.seen, y.i)
     ),
-    x AS (SELECT trace_id, i, any_value(p) AS p, max(own) FILTER (k = 'response') AS s, bool_or(k = 'response') AS answered FROM l GROUP BY 1, 2),
+    loops AS (SELECT trace_id, i, list_min(seen) AS loop FROM climb WHERE cur = i),
     r AS (
-        SELECT x.*, x.s AS rt, false AS bound, CAST(NULL AS BIGINT) AS ps, CAST(NULL AS BIGINT) AS prt FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.trace_id = x.trace_id AND y.i = x.p)
+        SELECT x.*, x.s AS rt, false AS bound, CAST(NULL AS BIGINT) AS ps, CAST(NULL AS BIGINT) AS prt FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.trace_id = x.trace_id AND y.i = x.p) OR (x.trace_id, x.i) IN (SELECT (trace_id, i) FROM loops)
         UNION ALL
-        SELECT x.*, CASE WHEN r.answered AND NOT (x.s < 4611686018427387904 AND r.s < 4611686018427387904 AND x.s - r.s > 1000000) THEN least(x.s, r.rt) ELSE x.s END, r.answered, r.s, r.rt FROM x JOIN r ON r.trace_id = x.trace_id AND r.i = x.p
+        SELECT x.*, CASE WHEN r.answered AND NOT (x.s < 4611686018427387904 AND r.s < 4611686018427387904 AND x.s - r.s > 1000000) THEN least(x.s, r.rt) ELSE x.s END, r.answered, r.s, r.rt FROM x JOIN r ON r.trace_id = x.trace_id AND r.i = x.p WHERE (x.trace_id, x.i) NOT IN (SELECT (trace_id, i) FROM loops)
     ),
     t AS (
         SELECT l.*, r.s, r.rt, r.bound, r.prt, r.answered AND r.s < 4611686018427387904 AS capped,
@@ -291,12 +307,14 @@ _ORDER = """
         UNION ALL SELECT n.trace_id, n.i, n.k, list_append(g.path, n.n) FROM n JOIN g ON g.trace_id = n.trace_id AND g.i = n.carrier AND g.k = 'response'
     ),
     ranked AS (SELECT n.*, row_number() OVER (PARTITION BY n.trace_id ORDER BY list_append(path, 4611686018427387904)) AS rank FROM n JOIN g USING (trace_id, i, k)),
-    waits AS (SELECT a.trace_id, a.i, a.k, a.rank, b.i AS wi, b.k AS wk FROM ranked a LEFT JOIN ranked b ON b.trace_id = a.trace_id AND b.k = 'request' AND b.i = CASE a.k WHEN 'response' THEN a.i ELSE a.p END),
+    waits AS (SELECT a.trace_id, a.i, a.k, a.rank, b.i AS wi, b.k AS wk FROM ranked a LEFT JOIN ranked b ON b.trace_id = a.trace_id AND b.k = 'request' AND b.i = CASE a.k WHEN 'response' THEN a.i WHEN 'request' THEN a.p END AND NOT (a.k = b.k AND a.i = b.i)),
+    cuts AS (SELECT k.trace_id, arg_min(q.i, q.rank) AS i FROM loops k LEFT JOIN ranked q ON q.trace_id = k.trace_id AND q.i = k.i AND q.k = 'request' GROUP BY k.trace_id, k.loop HAVING count(q.i) = count(*)),
     w AS (
-        SELECT trace_id, i, k, [rank] AS ahead FROM waits WHERE wi IS NULL
-        UNION ALL SELECT a.trace_id, a.i, a.k, list_append(list_filter(w.ahead, lambda v: v > a.rank), a.rank) FROM waits a JOIN w ON w.trace_id = a.trace_id AND w.i = a.wi AND w.k = a.wk
+        SELECT w.trace_id, w.i, w.k, [rank] AS ahead, CASE WHEN c.i IS NULL THEN -1 ELSE rank END AS late FROM waits w LEFT JOIN cuts c ON c.trace_id = w.trace_id AND c.i = w.i AND w.k = 'request' WHERE wi IS NULL OR c.i IS NOT NULL
+        UNION ALL SELECT a.trace_id, a.i, a.k, list_append(list_filter(w.ahead, lambda v: v > a.rank), a.rank), w.late FROM waits a JOIN w ON w.trace_id = a.trace_id AND w.i = a.wi AND w.k = a.wk WHERE NOT (a.k = 'request' AND (a.trace_id, a.i) IN (SELECT (trace_id, i) FROM cuts))
     ),
-    ordered AS (SELECT trace_id, i AS interaction_id, k AS leg_type, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY ahead) - 1 AS INTEGER) AS position FROM w)"""
+    ordered AS (SELECT trace_id, i AS interaction_id, k AS leg_type, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY late, ahead) - 1 AS INTEGER) AS position FROM w)"""
+_ORDER = _LEGS + _ORDER_OF
 _LINEAGE = _ORDER + """,
     ends AS (
         SELECT o.*, l.payload_hash, l.seq, CASE o.leg_type WHEN 'request' THEN a.natural_key ELSE b.natural_key END AS producer, CASE o.leg_type WHEN 'request' THEN b.natural_key ELSE a.natural_key END AS consumer,
@@ -359,6 +377,44 @@ _PLAN = traces.SIDECAR_SQL + f""",
     )"""
 
 
+# Places are single words, so a value stands in a text where one of its words is that value; and of two values neither can lie
+# inside the other. What is left of the rules is who remembers which legs.
+_FLOWS = _PLAN + """,
+    l AS (
+        SELECT g.trace_id, g.anchor_span_id AS i, g.leg_type AS k, f.owner AS p, coalesce(epoch_us(g.occurred_at), 4611686018427387904) AS own, 0 AS seq, g.body, CASE g.leg_type WHEN 'request' THEN f.caller_key ELSE f.callee_key END AS producer,
+               CASE g.leg_type WHEN 'request' THEN f.callee_key ELSE f.caller_key END AS consumer
+        FROM plan_legs g JOIN full_ f ON f.trace_id = g.trace_id AND f.span_id = g.anchor_span_id
+    )""" + _ORDER_OF + r""",
+    said AS (
+        SELECT o.trace_id, o.position AS n, l.i, l.k, l.p, l.producer, l.consumer, split_part(l.producer, ':', 1) = 'agent' AS keeps, CASE l.k WHEN 'response' THEN l.i ELSE l.p END AS call,
+               CASE WHEN json_valid(body) AND json_keys(CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN body END) = ['messages'] THEN array_to_string(list_transform(CAST(CAST(body AS JSON) -> '$.messages' AS JSON[]), lambda m: coalesce(m ->> '$."message.content"', m ->> '$.content')), chr(10)) ELSE body END AS text
+        FROM ordered o JOIN l ON l.trace_id = o.trace_id AND l.i = o.interaction_id AND l.k = o.leg_type
+    ),
+    heard AS (
+        SELECT trace_id, n, i, k, text IS NOT NULL AS has_text, coalesce(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}]+')), []) AS words,
+               coalesce(list_distinct(regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])(?:at|in|to|from|à)  ([A-Z][a-z]{2,})(?:$|[^\p{L}\p{N}_])', 1)), []) AS places
+        FROM said
+    ),
+    opened AS (SELECT a.trace_id, a.n, b.n AS m FROM said a JOIN said b ON b.trace_id = a.trace_id AND b.n < a.n AND b.i = a.call AND b.k = 'request' AND b.consumer = a.producer WHERE NOT a.keeps),
+    inside AS (SELECT a.trace_id, a.n, b.n AS m FROM said a JOIN said b ON b.trace_id = a.trace_id AND b.n < a.n AND b.p = a.call AND b.k = 'response' AND b.consumer = a.producer WHERE NOT a.keeps AND (a.k = 'response' OR (a.trace_id, a.n) IN (SELECT (trace_id, n) FROM opened))),
+    latest AS (SELECT a.trace_id, a.n, max(b.n) AS m FROM said a JOIN said b ON b.trace_id = a.trace_id AND b.n < a.n AND b.consumer = a.producer WHERE NOT a.keeps AND (a.trace_id, a.n) NOT IN (SELECT (trace_id, n) FROM opened) GROUP BY 1, 2),
+    known AS (SELECT a.trace_id, a.n, b.n AS m FROM said a JOIN said b ON b.trace_id = a.trace_id AND b.n < a.n AND b.consumer = a.producer WHERE a.keeps UNION SELECT * FROM opened UNION SELECT * FROM inside UNION SELECT * FROM latest),
+    brought AS (SELECT trace_id, n, list(m) AS ms FROM known GROUP BY 1, 2),
+    held AS (
+        SELECT trace_id, -1 AS n, CAST([] AS STRUCT(n INTEGER, o INTEGER, v VARCHAR)[]) AS has FROM (SELECT DISTINCT trace_id FROM heard)
+        UNION ALL
+        SELECT trace_id, n, list_concat(has, list_transform(list_distinct(list_concat(list_transform(got, lambda g: {'o': g.o, 'v': g.v}), list_transform(list_filter(places, lambda w: NOT list_contains(list_transform(got, lambda g: g.v), w)), lambda w: {'o': n, 'v': w}))),
+                                                          lambda u: CAST({'n': n, 'o': u.o, 'v': u.v} AS STRUCT(n INTEGER, o INTEGER, v VARCHAR))))
+        FROM (SELECT t.*, h.has, list_filter(h.has, lambda g: list_contains(coalesce(b.ms, []), g.n) AND list_contains(t.words, g.v)) AS got FROM held h JOIN heard t ON t.trace_id = h.trace_id AND t.n = h.n + 1 LEFT JOIN brought b ON b.trace_id = t.trace_id AND b.n = t.n)
+    ),
+    final_ AS (SELECT trace_id, unnest(has) AS h FROM held QUALIFY n = max(n) OVER (PARTITION BY trace_id)),
+    flows AS (
+        SELECT DISTINCT a.trace_id, f.i AS from_interaction, f.k AS from_leg, t.i AS to_interaction, t.k AS to_leg, o.i AS origin_interaction, o.k AS origin_leg, a.h.v AS value
+        FROM final_ a JOIN final_ b ON b.trace_id = a.trace_id AND b.h.o = a.h.o AND b.h.v = a.h.v JOIN known w ON w.trace_id = a.trace_id AND w.m = a.h.n AND w.n = b.h.n
+        JOIN heard f ON f.trace_id = a.trace_id AND f.n = a.h.n JOIN heard t ON t.trace_id = a.trace_id AND t.n = b.h.n JOIN heard o ON o.trace_id = a.trace_id AND o.n = a.h.o
+    )"""
+
+
 def _uuid5_sql(namespace: str, name: str) -> str:
     h = f"sha1(unhex('{namespace.replace('-', '')}') || encode({name}))"
     return f"{h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-' || translate({h}[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || {h}[18:20] || '-' || {h}[21:32]"
@@ -387,6 +443,8 @@ def _reach_sql(forward: bool) -> str:
 
 
 SQL = {
+    "label_flows": f"WITH RECURSIVE {_FLOWS} SELECT * FROM flows",
+    "label_origins": f"WITH RECURSIVE {_FLOWS} SELECT trace_id, origin_interaction, origin_leg, value, count(DISTINCT (to_interaction, to_leg)) AS n_legs FROM flows GROUP BY 1, 2, 3, 4",
     "sidecar_interactions": f"""WITH RECURSIVE {_PLAN}
         SELECT trace_id, span_id AS anchor_span_id, owner AS parent_span_id, caller_key, callee_key, direction, protocol, protocol || ' call from ' || coalesce(self_id, '(unknown)') AS summary,
                {_uuid5_sql(INTERACTION_NAMESPACE, "trace_id || '/' || span_id")} AS id, {_uuid5_sql(ENTITY_NAMESPACE, "caller_key")} AS caller_entity_id, {_uuid5_sql(ENTITY_NAMESPACE, "callee_key")} AS callee_entity_id FROM full_""",
