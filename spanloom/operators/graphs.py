@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import strip_provider
+from spanloom.functions.text import bare_host, hostname, strip_provider
 from spanloom.operators.attributes import FRAMEWORK_KEYS, is_agentic_scope, is_transport_scope
 from spanloom.operators.hierarchy import nearest_ancestor
 from spanloom.operators.listing import finalized, finalized_facts
@@ -62,15 +62,47 @@ def cross_service(spans: DataFrame) -> DataFrame:
     return pairs.where(F.col("caller_service") != F.col("service_name")).groupBy("caller_service", F.col("service_name").alias("callee_service")).agg(F.count("*").alias("n_calls"), F.count_if("error").alias("n_errors"))
 
 
-def stack_pairs(events: list[tuple[int, str, bool]]) -> list[tuple[int, int]]:
-    """Requests and responses of one pair of entities, in order, matched as a stack: each response closes the last request."""
-    stack: list[int] = []
-    out = []
-    for at, _, is_request in sorted(events):
-        if is_request:
-            stack.append(at)
-        elif stack:
-            out.append((stack.pop(), at))
-    return out
-
-
+def stack_pairs(events: DataFrame, key: list[str], order: str, opens: Column) -> DataFrame:
+    """Requests and responses of one key matched as a stack: each response closes the last request still open; one that finds
+    none open closes nothing. Adds ``level`` and ``opened_by`` (the order value of the request) and keeps responses that close.
+
+    No stack is kept: the height after each event is a running sum, lifted by its own lowest value below zero; at one height
+    requests and responses take turns, so a response's request is the row before it there."""
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = events.withColumn("_o", opens).withColumn("_s", F.sum(F.when(F.col("_o"), 1).otherwise(-1)).over(w))
+    rows = rows.withColumn("_h", F.col("_s") - F.least(F.lit(0), F.min("_s").over(w)))
+    rows = rows.withColumn("_low", F.lag("_h", 1, 0).over(Window.partitionBy(*key).orderBy(order)))
+    rows = rows.withColumn("level", F.when(F.col("_o"), F.col("_h")).otherwise(F.col("_low")))
+    same = Window.partitionBy(*key, "level").orderBy(order)
+    rows = rows.where(F.col("_o") | (F.col("_low") > 0)).withColumn("opened_by", F.lag(order).over(same))
+    return rows.where(~F.col("_o")).drop("_o", "_s", "_h", "_low")
+
+
+def boundary_peers(spans: DataFrame) -> DataFrame:
+    """Spans at the edge of what was recorded, with a stand-in for the other side: clients that no server span answers (the
+    host or service they name), and servers that no client span called (an unknown client)."""
+    rows = finalized_facts(spans, FRAMEWORK_KEYS)
+    kinds = rows.select("trace_id", "span_id", F.col("kind").alias("up_kind"))
+    answered = rows.where(F.col("kind") == "SERVER").select("trace_id", F.col("parent_id").alias("span_id")).where("span_id is not null").distinct()
+    peer = F.coalesce("peer_service", "server_address", "peer_name", F.nullif(bare_host(hostname(F.col("http_url"))), F.lit("")), F.lit("(unknown)"))
+    out = rows.where(F.col("kind") == "CLIENT").join(answered, ["trace_id", "span_id"], "left_anti").select("trace_id", "span_id", F.lit("callee").alias("side"), F.concat(F.lit("service:"), peer).alias("peer"))
+    called = rows.where(F.col("kind") == "SERVER").join(kinds.withColumnRenamed("span_id", "parent_id"), ["trace_id", "parent_id"], "left")
+    into = called.where(~F.col("up_kind").eqNullSafe(F.lit("CLIENT"))).select("trace_id", "span_id", F.lit("caller").alias("side"), F.lit("client:(unknown)").alias("peer"))
+    return out.unionByName(into)
+
+
+def merged_calls(asked: DataFrame, seen: DataFrame) -> DataFrame:
+    """Tool calls that a model asked for (trace_id, tool, at) against those that were seen (trace_id, tool, at): the n-th asked
+    of a tool in a trace is the n-th seen; what is left over was only asked for, or only seen."""
+    nth = lambda df, name: df.select("trace_id", "tool", F.col("at").alias(name), F.row_number().over(Window.partitionBy("trace_id", "tool").orderBy("at")).alias("n"))
+    both = nth(asked, "asked_at").join(nth(seen, "seen_at"), ["trace_id", "tool", "n"], "full")
+    return both.withColumn("state", F.when(F.col("seen_at").isNull(), "asked").when(F.col("asked_at").isNull(), "seen").otherwise("merged"))
+
+
+def transport_chains(spans: DataFrame) -> DataFrame:
+    """Calls that went over recorded transport: agentic spans whose nearest agentic span above is not their parent, with the
+    number of spans between."""
+    work = Workspace(spans.sparkSession, "chains")
+    rows, _ = work.save(coloured(spans))
+    near = nearest_ancestor(rows.withColumn("blue", F.col("colour") == "blue"), "blue", hops=True)
+    return rows.where("colour = 'blue'").select("trace_id", "span_id", "entity_key").join(near.where("hops > 1"), ["trace_id", "span_id"]).select("trace_id", "span_id", "entity_key", "ancestor", (F.col("hops") - 1).alias("n_between"))

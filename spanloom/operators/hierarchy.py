@@ -21,7 +21,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.ids import normal_id
@@ -162,9 +162,10 @@ def _solve(work: Workspace, tree: DataFrame, paths: bool = False) -> tuple[DataF
     return at_root.unionByName(expanded.where(F.col("root").isNotNull())), stuck, expanded
 
 
-def nearest_ancestor(df: DataFrame, target: str, key: str = "trace_id", node: str = "span_id", parent: str = "parent_id") -> DataFrame:
+def nearest_ancestor(df: DataFrame, target: str, key: str = "trace_id", node: str = "span_id", parent: str = "parent_id", hops: bool = False) -> DataFrame:
     """For each row the nearest row strictly above it, within ``key``, for which the boolean column ``target`` holds:
-    columns key, node, ancestor (null if there is none; also on a closed loop without targets).
+    columns key, node, ancestor (null if there is none; also on a closed loop without targets), with ``hops`` also the steps
+    up to it.
 
     Pointer doubling that stops at targets; ``df`` has one row per node, ids in one form.
     """
@@ -176,8 +177,8 @@ def nearest_ancestor(df: DataFrame, target: str, key: str = "trace_id", node: st
         "id", F.coalesce("pid", "id").alias("ptr"), F.lit(1).alias("dist"), F.lit(False).alias("split"),
         F.when(F.col("pid").isNull(), F.lit(AT_ROOT)).when(F.col("phit"), F.lit(AT_SPLITTER)).otherwise(F.lit(OPEN)).alias("done"),
     ))
-    found = states.read(AT_SPLITTER).select("id", "ptr").join(base.select(F.col("id").alias("ptr"), F.col("s").alias("ancestor")), "ptr")
-    return base.join(found.select("id", "ancestor"), "id", "left").select(F.col("t").alias(key), F.col("s").alias(node), "ancestor")
+    found = states.read(AT_SPLITTER).select("id", "ptr", F.col("dist").alias("hops")).join(base.select(F.col("id").alias("ptr"), F.col("s").alias("ancestor")), "ptr")
+    return base.join(found.select("id", "ancestor", "hops"), "id", "left").select(F.col("t").alias(key), F.col("s").alias(node), "ancestor", *(["hops"] if hops else []))
 
 
 def full_paths(df: DataFrame, trace: str = "trace_id", span: str = "span_id", parent: str = "parent_id", order: str = "arrival_seq") -> DataFrame:
@@ -227,3 +228,24 @@ def subtree_sums(df: DataFrame, weight: Column | None = None, trace: str = "trac
 def subtree_sizes(df: DataFrame, **columns: str) -> DataFrame:
     """Per span with a root the number of its descendants."""
     return subtree_sums(df, **columns).select("trace_id", "span_id", (F.col("total") - 1).alias("n_descendants"))
+
+
+def ordinals(df: DataFrame, sort: list[str], trace: str = "trace_id", span: str = "span_id", parent: str = "parent_id") -> DataFrame:
+    """The depth-first tour of every trace: for each node with a root the numbers of its opening and its closing event (1, 2,
+    ... in each trace), children and roots in the order of ``sort`` and then their id. ``df`` has one row per node, ids in
+    normal form.
+
+    A node's opening is one more than its parent's plus all events of the siblings before it; those come from subtree sizes
+    and a running sum among siblings, and the sum along the way to the root doubles. No trace is walked in one place."""
+    work = Workspace(df.sparkSession, "ordinals")
+    rows = df.select(F.col(trace).alias("t"), F.col(span).alias("s"), F.col(parent).alias("p"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(sort)])
+    sizes = subtree_sums(rows.withColumn("_o", F.lit(0)), None, "t", "s", "p", "_o").select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("total").alias("size"))
+    base, _ = work.save(rows.join(sizes, ["t", "s"]))
+    there = base.select("t", F.col("s").alias("p"), F.lit(True).alias("there"))
+    base = base.join(there, ["t", "p"], "left").withColumn("p", F.when(F.col("there"), F.col("p")))
+    before = Window.partitionBy("t", "p").orderBy(*[f"o{i}" for i in range(len(sort))], "s").rowsBetween(Window.unboundedPreceding, -1)
+    state, _ = work.save(base.select("t", "s", F.col("p").alias("ptr"), "size", (F.coalesce(2 * F.sum("size").over(before), F.lit(0)) + 1).alias("opening")))
+    while state.where("ptr is not null").limit(1).count():
+        up = state.select("t", F.col("s").alias("ptr"), F.col("ptr").alias("q"), F.col("opening").alias("above"))
+        state, _ = work.save(state.join(up, ["t", "ptr"], "left").select("t", "s", F.col("q").alias("ptr"), "size", (F.col("opening") + F.coalesce("above", F.lit(0))).alias("opening")))
+    return state.select(F.col("t").alias(trace), F.col("s").alias(span), "opening", (F.col("opening") + 2 * F.col("size") - 1).alias("closing"))

@@ -168,7 +168,6 @@ def test_graph_of_calls(spark):
     df = span(spark, rows)
     assert {(r.caller_key, r.callee_key) for r in graphs.calls(df).collect()} == {("agent:boss", "llm:m1"), ("agent:boss", "tool:t")}
     assert {r.span_id: r.component for r in graphs.components(df).collect()} == {"1": "1", "2": "1", "3": "1", "5": "5"}
-    assert graphs.stack_pairs([(1, "x", True), (2, "x", True), (3, "x", False), (4, "x", False), (5, "x", False)]) == [(2, 3), (1, 4)]
 
 
 def test_shares_ranking_and_fingerprints(spark):
@@ -204,3 +203,69 @@ def test_tunnels(spark):
     ask = side("request", "outbound", "http", "b1", "m", **{"http.method": "CONNECT"})
     rows = [("t", "b1", None, 1, ask, "s", "CLIENT", True), ("t", "b2", "b1", 2, side("response", "outbound", "http", "b1", "m"), "s", "CLIENT", True), ("u", "b1", None, 1, ask, "s", "CLIENT", True), ("u", "b3", "b1", 2, None, "s", None, True), ("v", "c1", None, 1, side("request", "outbound", "http", "c1", "m", **{"http.method": "GET"}), "s", "CLIENT", True)]
     assert [tuple(r) for r in identity.tunnel_traces(span(spark, rows)).collect()] == [("t", 2)]
+
+
+def test_stack_pairs_are_those_of_a_stack(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(f"k{r.randrange(4)}", n, r.random() < 0.5) for n in range(300)] + [(None, 301, True), (None, 302, False), ("z", 303, False)]
+    want, stacks = set(), {}
+    for k, n, opens in rows:
+        if opens:
+            stacks.setdefault(k, []).append(n)
+        elif stacks.get(k):
+            want.add((n, stacks[k].pop()))
+    df = spark.createDataFrame(rows, "k string, n int, opens boolean")
+    got = {(x.n, x.opened_by) for x in graphs.stack_pairs(df, ["k"], "n", F.col("opens")).collect()}
+    assert got == want and graphs.stack_pairs(df.limit(0), ["k"], "n", F.col("opens")).count() == 0
+
+
+def test_ordinals_of_a_deep_and_a_wide_tree(spark):
+    from spanloom.operators.hierarchy import ordinals
+
+    rows = [("t", "r", None, 1), ("t", "b", "r", 3), ("t", "a", "r", 2), ("t", "c", "a", None), ("t", "o", "gone", 0), ("t", "x", "x", 1), ("u", "r", None, 5)]
+    got = {(x.t, x.s): (x.opening, x.closing) for x in ordinals(spark.createDataFrame(rows, "t string, s string, p string, at int"), ["at"], "t", "s", "p").collect()}
+    assert got == {("t", "o"): (1, 2), ("t", "r"): (3, 10), ("t", "a"): (4, 7), ("t", "c"): (5, 6), ("t", "b"): (8, 9), ("u", "r"): (1, 2)}
+
+
+def test_cursors_filters_and_pages(spark):
+    from spanloom.operators import reads
+    from spanloom.plans.feeds import page_limit, span_filter
+
+    token = reads.encode_cursor(20, "newest")
+    assert reads.decode_cursor(token, "newest") == 20
+    for bad, order in ((token, "oldest"), ("!!", "newest"), ("", "newest"), (reads.encode_cursor(-1, "newest"), "newest")):
+        with pytest.raises(reads.StaleCursor):
+            reads.decode_cursor(bad, order)
+    df = spark.createDataFrame([(n, n % 3) for n in range(10)], "seq int, a int")
+    first, token = reads.offset_page(df, [F.col("seq")], "s", None, 4)
+    second, _ = reads.offset_page(df, [F.col("seq")], "s", token, 4)
+    assert [r.seq for r in first.collect()] == [0, 1, 2, 3] and [r.seq for r in second.collect()] == [4, 5, 6, 7]
+    assert sorted(r.seq for r in df.where(reads.after_seq(df, 4, [("a", "asc"), ("seq", "desc")])).collect()) == [1, 2, 5, 8]
+    with pytest.raises(reads.StaleCursor):
+        reads.after_seq(df, 99, [("a", "asc")])
+    with pytest.raises(ValueError):
+        span_filter(seq_after=1, seq_before=2)
+    with pytest.raises(ValueError):
+        span_filter(span_id="x")
+    with pytest.raises(ValueError):
+        span_filter(colour="x")
+    assert page_limit(5000) == 1000 and page_limit(3) == 3
+    with pytest.raises(ValueError):
+        page_limit(0)
+
+
+def test_digests_change_with_any_leg(spark):
+    from spanloom.operators import reads
+
+    i = spark.createDataFrame([("1", "t"), ("2", "t"), ("3", "u")], "id string, trace_id string")
+    leg = lambda i, k, seq, h: (i, k, h, None, seq)
+    schema = "interaction_id string, leg_type string, payload_hash string, error boolean, seq long"
+    make = lambda rows: {r.trace_id: r.digest for r in reads.ordered_digests(spark.createDataFrame(rows, schema).withColumn("occurred_at", F.lit(None).cast("timestamp")), i).collect()}
+    rows = [leg("1", "request", 1, "a"), leg("1", "response", 2, None), leg("2", "request", 3, "b"), leg("3", "request", 4, "c")]
+    base = make(rows)
+    assert make(rows[::-1]) == base
+    changed = make([leg("1", "request", 1, "a"), leg("1", "response", 2, "x"), leg("2", "request", 3, "b"), leg("3", "request", 4, "c")])
+    assert changed["t"] != base["t"] and changed["u"] == base["u"]
+    assert make([leg("1", "request", 3, "a"), leg("1", "response", 2, None), leg("2", "request", 1, "b"), leg("3", "request", 4, "c")])["t"] != base["t"]
