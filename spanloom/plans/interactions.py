@@ -154,7 +154,8 @@ def _label_legs(plan: dict[str, DataFrame]) -> DataFrame:
     who = plan["interactions"].select("trace_id", F.col("anchor_span_id").alias("interaction_id"), F.col("parent_span_id").alias("parent"), "caller_key", "callee_key")
     legs = plan["legs"].withColumnRenamed("anchor_span_id", "interaction_id")
     # the spans give legs no seq; legs of one time are told apart by their ids
-    at = order.positions(legs.select("trace_id", "interaction_id", "leg_type", F.unix_micros("occurred_at").alias("at"), F.lit(0).alias("seq")).join(who.select("trace_id", "interaction_id", "parent"), ["trace_id", "interaction_id"]))
+    bare = plan.get("places", plan["legs"]).withColumnRenamed("anchor_span_id", "interaction_id")
+    at = order.positions(bare.select("trace_id", "interaction_id", "leg_type", F.unix_micros("occurred_at").alias("at"), F.lit(0).alias("seq")).join(who.select("trace_id", "interaction_id", "parent"), ["trace_id", "interaction_id"]))
     legs = legs.select("trace_id", "interaction_id", "leg_type", payload_digest(F.col("body")).alias("payload_hash"), classify.classifiable_text(F.col("body")).alias("text"))
     request = F.col("leg_type") == "request"
     rows = legs.join(at, ["trace_id", "interaction_id", "leg_type"]).join(who, ["trace_id", "interaction_id"]).select(
@@ -170,7 +171,7 @@ def _label_legs(plan: dict[str, DataFrame]) -> DataFrame:
 def _legs_with_text(spark: SparkSession, base: str) -> DataFrame:
     spans = table(spark, base, "spans")
     plan = interactions.plan(spans)
-    return _label_legs({**plan, "legs": interactions.with_bodies(plan["legs"], spans)})
+    return _label_legs({**plan, "places": plan["legs"], "legs": interactions.with_bodies(plan["legs"], spans)})
 
 
 def label_edges(spark: SparkSession, base: str) -> DataFrame:
