@@ -181,7 +181,7 @@ def label_edges(spark: SparkSession, base: str) -> DataFrame:
 
 def label_flows(spark: SparkSession, base: str) -> DataFrame:
     """The edges of ``label_edges`` whatever the spans: which leg handed which value on to which, and where it first stood."""
-    return label_edges(spark, base).select("trace_id", "from_interaction", "from_leg", "to_interaction", "to_leg", "origin_interaction", "origin_leg", "value").distinct()
+    return labels.flows(_legs_with_text(spark, base))
 
 
 def label_origins(spark: SparkSession, base: str) -> DataFrame:
