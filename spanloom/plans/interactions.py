@@ -186,7 +186,7 @@ def label_flows(spark: SparkSession, base: str) -> DataFrame:
 
 def label_origins(spark: SparkSession, base: str) -> DataFrame:
     """How many legs each value reached from where it first stood."""
-    return label_edges(spark, base).groupBy("trace_id", "origin_interaction", "origin_leg", "value").agg(F.count_distinct("to_interaction", "to_leg").alias("n_legs"))
+    return labels.arrivals(_legs_with_text(spark, base)).groupBy("trace_id", "origin_interaction", "origin_leg", "value").agg(F.count_distinct("to_interaction", "to_leg").alias("n_legs"))
 
 
 def label_states(spark: SparkSession, base: str) -> DataFrame:
