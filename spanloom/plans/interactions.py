@@ -195,7 +195,7 @@ def label_states(spark: SparkSession, base: str) -> DataFrame:
 
 
 def label_summary(spark: SparkSession, base: str) -> DataFrame:
-    return labels.leg_summary(label_edges(spark, base))
+    return labels.leg_summary(labels.arrivals(_legs_with_text(spark, base)))
 
 
 def label_chains(spark: SparkSession, base: str) -> DataFrame:
